@@ -23,7 +23,7 @@ from .common import materialize, partitions
 #: Neighbours each vector keeps, and how many vectors that name it join a round.
 NEIGHBOURS = 40
 BACK = 24
-TREES = 14
+TREES = 20
 LEAF = 256
 LEAF_NEIGHBOURS = 16
 ROUNDS = 7
