@@ -197,19 +197,23 @@ def _id_filter(ids: DataFrame):
             x = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
             yield pa.record_batch([pa.array((mix(x) % U64(size)).astype(np.int64))], names=["h"])
 
-    rows = ids.mapInArrow(slots, "h long").groupBy(F.expr("h div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits")).toPandas()
+    rows = ids.mapInArrow(slots, "h long").groupBy(F.expr("h div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits")).toArrow()
     out = np.zeros(FILTER_WORDS, U64)
-    out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(U64)
+    out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(U64)
     return out
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int, fragments: int) -> DataFrame:
-    """The pairs ``(a, na, b, nb)`` whose overlap, counted by fragment and summed, reaches the threshold."""
+    """The pairs ``(a, na, b, nb)`` whose overlap, counted by fragment and summed, reaches the threshold.
+
+    A set may stand in ``segments`` more than once; each fragment of a pair counts once.
+    """
     one = segments.select(F.col("sig").alias("a"), "frag", F.col("grams").alias("ga"))
     two = segments.select(F.col("sig").alias("b"), "frag", F.col("grams").alias("gb"))
     parts = pairs.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(fragments)])))
-    partial = parts.join(one, ["a", "frag"]).join(two, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("c"))
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(F.col("c") * (den + num) >= (F.col("na").cast("long") + F.col("nb")) * num).select("a", "b")
+    partial = parts.join(one, ["a", "frag"]).join(two, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).cast("long").alias("c"))
+    overlap = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("c").alias("c")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    return overlap.where(F.col("c") * (den + num) >= (F.col("na").cast("long") + F.col("nb")) * num).select("a", "b")
 
 
 def _fits(na, nb, num: int, den: int):
@@ -217,6 +221,23 @@ def _fits(na, nb, num: int, den: int):
     return (F.greatest(na, nb).cast("long") * num) <= (F.least(na, nb).cast("long") * den)
 
 
+def _promising(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs of ``shared`` (a row for each prefix n-gram that a pair shares) that can reach the threshold.
+
+    Up to the earlier of the two prefixes' ends only shared prefix n-grams
+    overlap, and beyond it at most what that set has left.
+    """
+    left = lambda n: (F.ceil(F.col(n).cast("long") * num / den) - 1)
+    need = F.ceil((F.col("na").cast("long") + F.col("nb")) * num / (num + den))
+    counted = shared.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("met"))
+    return counted.where(F.col("met") >= need - F.greatest(left("na"), left("nb"))).drop("met")
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files that nothing refers to any more are removed once the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs``.
 
@@ -235,32 +256,37 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     local = materialize(texts.mapInArrow(_local(k), "id long, n long, sig long, gram long, count long"), "local")
     own = local.where("n is not null").select("id", "n", "sig")
-    often = local.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(ORDER_LIMIT).toPandas()
-    order = spark.sparkContext.broadcast(Order(often["gram"].to_numpy(np.int64).view(U64), often["count"].to_numpy(np.int64)))
+    often = local.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(ORDER_LIMIT).toArrow()
+    order = spark.sparkContext.broadcast(Order(often.column("gram").to_numpy().view(U64), often.column("count").to_numpy()))
 
     postings = texts.select("text").mapInArrow(_prefixes(k, num, den, order), "gram long, sig long, n int")
     met = materialize(postings.repartition(width, "gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(_crowded, "gram long, sig long, n int, centre long, centre_n int"), "met")
-
+    _let_go(spark)
     classes = own.where("n > 0").groupBy("sig").agg(F.min("id").alias("least_id"))
-    star = met.where(_fits(F.col("n"), F.col("centre_n"), num, den)).select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b"), F.when(F.col("sig") < F.col("centre"), F.col("n")).otherwise(F.col("centre_n")).alias("na"), F.when(F.col("sig") < F.col("centre"), F.col("centre_n")).otherwise(F.col("n")).alias("nb")).distinct()
-    star = materialize(star, "star")
-    involved = met.select("sig").union(met.select(F.col("centre").alias("sig"))).distinct()
-    wanted = spark.sparkContext.broadcast(_id_filter(classes.join(involved, "sig", "left_semi").where("least_id is not null").select(F.col("least_id").alias("id"))))
-    segments = materialize(texts.where("id is not null").mapInArrow(_segments(k, order, wanted, FRAGMENTS), "sig long, frag int, grams array<long>").dropDuplicates(["sig", "frag"]), "segments")
 
-    first = materialize(_linked(star, segments, num, den, FRAGMENTS), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        sides = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+        wanted = spark.sparkContext.broadcast(_id_filter(classes.join(sides, "sig", "left_semi").where("least_id is not null").select(F.col("least_id").alias("id"))))
+        segments = materialize(texts.where("id is not null").mapInArrow(_segments(k, order, wanted, FRAGMENTS), "sig long, frag int, grams array<long>"), "segments")
+        out = materialize(_linked(pairs, segments, num, den, FRAGMENTS), "links")
+        _let_go(spark)
+        return out
+
+    # First against the first class of each prefix n-gram.
+    swap = F.col("sig") < F.col("centre")
+    star = met.where(_fits(F.col("n"), F.col("centre_n"), num, den)).select(F.least("sig", "centre").alias("a"), F.when(swap, F.col("n")).otherwise(F.col("centre_n")).alias("na"), F.greatest("sig", "centre").alias("b"), F.when(swap, F.col("centre_n")).otherwise(F.col("n")).alias("nb"))
+    first = linked(materialize(_promising(star, num, den), "star"))
     labels = connected_components(first)
 
-    # All pairs that share a prefix n-gram and aren't connected yet.
+    # Then all pairs that share prefix n-grams and aren't connected yet.
     members = met.select("gram", "sig", "n").union(met.select("gram", F.col("centre").alias("sig"), F.col("centre_n").alias("n"))).distinct()
     tagged = members.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     open_grams = tagged.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
     tagged = materialize(tagged.join(open_grams, "gram", "left_semi"), "open")
     left = tagged.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     right = tagged.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("nb"), num, den)).select("a", "na", "b", "nb").distinct()
-    rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    second = _linked(rest, segments, num, den, FRAGMENTS)
+    rest = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("nb"), num, den)).select("a", "na", "b", "nb")
+    second = linked(materialize(_promising(rest, num, den), "rest"))
     joined = connected_components(first.unionByName(second))
 
     # The smallest id of each component of classes.

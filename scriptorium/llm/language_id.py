@@ -157,12 +157,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     total = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n))])
     rates = counts.withColumn("rate", F.col("n") / F.element_at(total, F.col("k")))
     by_gram = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("k", "rate")).alias("all"))
-    kept = by_gram.orderBy(F.desc("top"), "gram").limit(SLOTS).select("gram", F.expr(f"transform(filter(all, x -> x.rate >= {SHARE} * top), x -> x.k)").alias("ks")).toPandas()
+    kept = by_gram.orderBy(F.desc("top"), "gram").limit(SLOTS).select("gram", F.expr(f"transform(filter(all, x -> x.rate >= {SHARE} * top), x -> x.k)").alias("ks")).toArrow()
     masks = np.zeros((len(kept), max(1, -(-len(languages) // 64))), U64)
-    for i, ks in enumerate(kept["ks"]):
+    for i, ks in enumerate(kept.column("ks").to_pylist()):
         for k in ks:
             masks[i, k >> 6] |= U64(1) << U64(k & 63)
-    return LanguageFilter(languages, kept["gram"].to_numpy(np.int64).view(U64), masks)
+    return LanguageFilter(languages, kept.column("gram").to_numpy().view(U64), masks)
 
 
 def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", out_col: str = "language") -> DataFrame:
