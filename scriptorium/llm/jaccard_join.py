@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
@@ -30,6 +30,9 @@ from .shingles import U64, mix, shingle_sets
 ORDER_LIMIT = 1 << 19
 #: Bits of the filter on ids of documents whose sets are fetched, 64 a word; more ids only let more pass.
 FILTER_WORDS = 1 << 17
+#: Rounds of pairs with centres of each n-gram before all pairs that are left, and centres from the second round on.
+STAR_ROUNDS = 3
+CENTRES = 8
 #: Fragments of the global order.
 FRAGMENTS = 4
 
@@ -131,7 +134,7 @@ def _prefixes(k: int, num: int, den: int, order):
 
 
 def _crowded(batches):
-    """Of rows sorted by (gram, n, sig): those whose gram has another class, each with the first class of its gram."""
+    """Of rows sorted by (gram, sig): those whose gram has another class, each with the first class of its gram."""
     last = None  # gram, centre, its n, last class, whether its first row is out
     names = ["gram", "sig", "n", "centre", "centre_n"]
     for batch in batches:
@@ -233,6 +236,13 @@ def _promising(shared: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where(F.col("met") >= need - F.greatest(left("na"), left("nb"))).drop("met")
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows ``(gram, sig, n, label)`` of n-grams whose classes lie in more than one component."""
+    tagged = members.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    mixed = tagged.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
+    return materialize(tagged.join(mixed, "gram", "left_semi"), "open")
+
+
 def _let_go(spark: SparkSession) -> None:
     """Shuffle files that nothing refers to any more are removed once the driver collects its garbage."""
     spark.sparkContext._jvm.System.gc()
@@ -260,7 +270,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     order = spark.sparkContext.broadcast(Order(often.column("gram").to_numpy().view(U64), often.column("count").to_numpy()))
 
     postings = texts.select("text").mapInArrow(_prefixes(k, num, den, order), "gram long, sig long, n int")
-    met = materialize(postings.repartition(width, "gram").sortWithinPartitions("gram", "n", "sig").mapInArrow(_crowded, "gram long, sig long, n int, centre long, centre_n int"), "met")
+    met = materialize(postings.repartition(width, "gram").sortWithinPartitions("gram", "sig").mapInArrow(_crowded, "gram long, sig long, n int, centre long, centre_n int"), "met")
     _let_go(spark)
     classes = own.where("n > 0").groupBy("sig").agg(F.min("id").alias("least_id"))
 
@@ -272,22 +282,27 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
         _let_go(spark)
         return out
 
-    # First against the first class of each prefix n-gram.
+    # First, against one centre of each prefix n-gram, then against a few others each round.
     swap = F.col("sig") < F.col("centre")
-    star = met.where(_fits(F.col("n"), F.col("centre_n"), num, den)).select(F.least("sig", "centre").alias("a"), F.when(swap, F.col("n")).otherwise(F.col("centre_n")).alias("na"), F.greatest("sig", "centre").alias("b"), F.when(swap, F.col("centre_n")).otherwise(F.col("n")).alias("nb"))
-    first = linked(materialize(_promising(star, num, den), "star"))
-    labels = connected_components(first)
+    ordered = [F.least("sig", "centre").alias("a"), F.when(swap, F.col("n")).otherwise(F.col("centre_n")).alias("na"), F.greatest("sig", "centre").alias("b"), F.when(swap, F.col("centre_n")).otherwise(F.col("n")).alias("nb")]
+    fits = _fits(F.col("n"), F.col("centre_n"), num, den)
+    members = materialize(met.select("gram", "sig", "n").union(met.select("gram", F.col("centre").alias("sig"), F.col("centre_n").alias("n"))).distinct(), "members")
+    links = linked(materialize(_promising(met.where(fits).select(*ordered), num, den), "star"))
+    labels = connected_components(links)
+    tagged = _open(members, labels)
+    for turn in range(1, STAR_ROUNDS):
+        drawn = F.row_number().over(Window.partitionBy("gram").orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
+        centres = tagged.withColumn("place", drawn).where(F.col("place") <= CENTRES).select("gram", F.col("sig").alias("centre"), F.col("n").alias("centre_n"), F.col("label").alias("centre_label"))
+        star = tagged.join(centres, "gram").where(fits & (F.col("label") != F.col("centre_label"))).select(*ordered)
+        links = links.unionByName(linked(materialize(_promising(star, num, den), "star")))
+        labels = connected_components(links)
+        tagged = _open(members, labels)
 
     # Then all pairs that share prefix n-grams and aren't connected yet.
-    members = met.select("gram", "sig", "n").union(met.select("gram", F.col("centre").alias("sig"), F.col("centre_n").alias("n"))).distinct()
-    tagged = members.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    open_grams = tagged.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
-    tagged = materialize(tagged.join(open_grams, "gram", "left_semi"), "open")
     left = tagged.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     right = tagged.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     rest = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("nb"), num, den)).select("a", "na", "b", "nb")
-    second = linked(materialize(_promising(rest, num, den), "rest"))
-    joined = connected_components(first.unionByName(second))
+    joined = connected_components(links.unionByName(linked(materialize(_promising(rest, num, den), "rest"))))
 
     # The smallest id of each component of classes.
     known = classes.join(joined.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
