@@ -1,15 +1,418 @@
-"""Every query of the engine and the SQL that says the same."""
+"""Every query of the engine and the SQL that says the same.
+
+``derived_wiki`` gives each document the path ``lang/d<doc_id>`` and links by
+arithmetic, some past the last document, as the tables hold no wiki links.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.functions import text as T
+from scriptorium.operators import blocks, coverage, graph, links, search, store, usage
+from scriptorium.sources import pages as page_source
+from scriptorium.sources import table
+from scriptorium.streaming import watch
+
+LITERAL = "ßE"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _wiki(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    i = F.col("doc_id")
+    other = lambda n: F.concat(F.col("lang"), F.lit("/d"), n.cast("string"))
+    made = F.when(i % 5 == 0, F.array().cast("array<string>")).when(i % 7 == 0, F.array(other(i), F.concat(F.lit("d"), (i + 1).cast("string")))).otherwise(F.array(other((i * 7 + 3) % 1300), F.upper(other((i * 3 + 1) % 1300)), F.concat(F.lit("d"), ((i * 11) % 1300).cast("string"))))
+    return docs.select(other(i).alias("path"), made.alias("links"))
+
+
+_WIKI = """
+wiki AS (
+  SELECT lang || '/d' || doc_id AS path,
+         CASE WHEN doc_id % 5 = 0 THEN CAST([] AS VARCHAR[])
+              WHEN doc_id % 7 = 0 THEN [lang || '/d' || doc_id, 'd' || (doc_id + 1)]
+              ELSE [lang || '/d' || ((doc_id * 7 + 3) % 1300), upper(lang || '/d' || ((doc_id * 3 + 1) % 1300)), 'd' || ((doc_id * 11) % 1300)] END AS links
+  FROM documents
+), link AS (SELECT path, unnest(links) AS target FROM wiki)
+"""
+_LINES = """
+split AS (SELECT doc_id, string_split(text, chr(10)) AS rows FROM documents),
+plain AS (SELECT doc_id, unnest(rows) AS text, generate_subscripts(rows, 1) - 1 AS ord FROM split),
+line AS (SELECT doc_id, CAST(ord AS INTEGER) AS ord, text,
+           CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+         FROM plain)
+"""
+_FOLD = "replace(lower(text), 'ß', 'ss')"
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, ord, start, start + length(text) AS \"end\", strpos({_FOLD}, 'sse') - 1 AS at FROM line WHERE contains({_FOLD}, 'sse')")
+def literal_search(spark, d):
+    """Every line that holds the literal, whatever its case."""
+    return search.literal_hits(blocks.line_blocks(_documents(spark, d)), LITERAL).select("doc_id", "ord", "start", "end", "at")
+
+
+@_query(f"WITH {_LINES}, hit AS (SELECT doc_id, ord, start FROM line WHERE contains({_FOLD}, 'sse')) SELECT *, (SELECT count(*) FROM hit) AS total, CASE WHEN 70 < (SELECT count(*) FROM hit) THEN CAST(70 AS BIGINT) END AS next_offset FROM hit ORDER BY doc_id, ord LIMIT 50 OFFSET 20")
+def search_page(spark, d):
+    """One page of hits (the page is the feature)."""
+    hits = search.literal_hits(blocks.line_blocks(_documents(spark, d)), LITERAL).select("doc_id", "ord", "start")
+    return search.page(hits, ["doc_id", "ord"], 20, 50)
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, ord, start, start + length(text) AS \"end\", sha256(text) AS digest FROM line")
+def line_blocks(spark, d):
+    return blocks.line_blocks(_documents(spark, d)).select("doc_id", "ord", "start", "end", F.sha2("text", 256).alias("digest"))
+
+
+@_query("""
+WITH d AS (SELECT doc_id, string_split('# Title' || chr(10) || replace(text, chr(10), chr(10) || chr(10)), chr(10)) AS rows FROM documents),
+p AS (SELECT doc_id, unnest(rows) AS row, generate_subscripts(rows, 1) - 1 AS i FROM d)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ord, CASE WHEN i = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CAST(i + 1 AS INTEGER) AS line, sha256(row) AS digest
+FROM p WHERE trim(row) <> ''
+""")
+def block_split(spark, d):
+    """Markdown blocks of the documents under a heading, each line a paragraph."""
+    docs = _documents(spark, d).select("doc_id", F.concat(F.lit("# Title\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text"))
+    return blocks.markdown_blocks(docs).select("doc_id", "ord", "kind", "line", F.sha2("text", 256).alias("digest"))
+
+
+@_query("""
+WITH v AS (SELECT source AS origin, doc_id AS ord, sha256(text) AS input_key FROM documents),
+c AS (SELECT *, coalesce(lag(input_key) OVER (PARTITION BY origin ORDER BY ord) <> input_key, true) AS is_new FROM v)
+SELECT origin, ord, input_key, is_new, CAST(sum(CAST(is_new AS INTEGER)) OVER (PARTITION BY origin ORDER BY ord) AS BIGINT) AS revision FROM c
+""")
+def doc_versions(spark, d):
+    return store.versions(_documents(spark, d).select(F.col("source").alias("origin"), F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("input_key")))
+
+
+@_query("SELECT doc_id, sha256(text) AS key, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS uses FROM documents")
+def doc_dedupe(spark, d):
+    return store.shared_analysis(_documents(spark, d).select("doc_id", "text"), F.sha2("text", 256))
+
+
+@_query("""
+WITH f AS (SELECT 'raw/' || doc_id AS path, doc_id AS ord, regexp_extract(text, '^([A-Za-z]+[ .,]+[A-Za-z]*)', 1) AS stem FROM documents),
+c AS (SELECT path, ord, trim(regexp_replace(stem, '[^A-Za-z0-9_-]+', '-', 'g'), '-') AS s FROM f),
+k AS (SELECT path, CASE WHEN s = '' THEN 'document' ELSE s END AS clean, ord FROM c)
+SELECT path, CASE WHEN row_number() OVER (PARTITION BY clean ORDER BY ord) = 1 THEN clean ELSE clean || '-' || substring(sha256(path), 1, 8) END AS name FROM k
+""")
+def doc_names(spark, d):
+    docs = _documents(spark, d)
+    files = docs.select(F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("path"), F.regexp_extract("text", "^([A-Za-z]+[ .,]+[A-Za-z]*)", 1).alias("stem"), F.col("doc_id").alias("ord"))
+    return store.document_names(files)
+
+
+@_query(r"""
+SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', 1)) || '://' || lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', 2)) ||
+  CASE WHEN regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', 3) = '' THEN '/' ELSE regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', 3) END ||
+  regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?', 4) AS origin FROM pages
+""")
+def url_origins(spark, d):
+    return table(spark, d, "pages").select("page_id", T.url_origin(F.col("url")).alias("origin"))
+
+
+@_query("""
+WITH h AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages), e AS (SELECT page_id, unnest(hs) AS href FROM h)
+SELECT href, count(*) AS uses, count(DISTINCT page_id) AS pages FROM e GROUP BY href
+""")
+def href_degree(spark, d):
+    return links.hrefs(table(spark, d, "pages")).groupBy("href").agg(F.count("*").alias("uses"), F.countDistinct("page_id").alias("pages"))
+
+
+@_query(f"WITH {_WIKI} SELECT l.path, l.target FROM link l WHERE target NOT IN (SELECT path FROM wiki) AND target NOT IN (SELECT split_part(path, '/', 2) FROM wiki)")
+def broken_links(spark, d):
+    return links.broken_links(_wiki(spark, d))
+
+
+@_query(f"WITH {_WIKI} SELECT path FROM wiki WHERE len(links) = 0 AND path NOT IN (SELECT target FROM link) AND split_part(path, '/', 2) NOT IN (SELECT target FROM link)")
+def orphans(spark, d):
+    return links.orphans(_wiki(spark, d))
+
+
+@_query(f"WITH {_WIKI} SELECT DISTINCT l.path AS source, w.path AS target FROM link l JOIN wiki w ON lower(l.target) = w.path WHERE l.path <> w.path")
+def graph_edges(spark, d):
+    return links.graph_edges(_wiki(spark, d))
+
+
+@_query(f"WITH {_WIKI}, e AS (SELECT DISTINCT l.path AS s, w.path AS t FROM link l JOIN wiki w ON lower(l.target) = w.path WHERE l.path <> w.path) SELECT path, (SELECT count(*) FROM e WHERE t = path) AS n_in, (SELECT count(*) FROM e WHERE s = path) AS n_out FROM wiki")
+def graph_degrees(spark, d):
+    return links.degrees(_wiki(spark, d))
+
+
+@_query(f"WITH {_WIKI} SELECT l.path, l.target, w.path AS fixed FROM link l LEFT JOIN wiki w ON lower(l.target) = w.path")
+def link_fix(spark, d):
+    return links.repaired_links(_wiki(spark, d))
+
+
+@_query(f"WITH {_WIKI}, n AS (SELECT split_part(path, '/', 2) AS name, min(path) AS path FROM wiki GROUP BY 1 HAVING count(*) = 1) SELECT l.path, l.target, coalesce(w.path, n.path) AS \"to\" FROM link l LEFT JOIN wiki w ON lower(l.target) = w.path LEFT JOIN n ON lower(l.target) = n.name")
+def reading_links(spark, d):
+    return links.resolved_readings(_wiki(spark, d))
+
+
+@_query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_entries(spark, d):
+    return _documents(spark, d).select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@_query("SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn, min_by(t, turn) FILTER (WHERE role = 'user') AS title FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f, CASE WHEN length(f) > 60 THEN rtrim(substring(f, 1, 59)) || '…' ELSE f END AS t FROM conversations) GROUP BY conv_id")
+def session_list(spark, d):
+    return search.sessions(table(spark, d, "conversations"), T.title_from(F.col("text")))
+
+
+@_query("""
+WITH i AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id FROM conversations), p AS (SELECT DISTINCT substring(id, 1, 2) AS prefix FROM i)
+SELECT p.prefix, count(i.id) AS n, CASE WHEN max(CAST(i.id = p.prefix AS INTEGER)) = 1 THEN p.prefix WHEN count(i.id) = 1 THEN min(i.id) END AS resolved FROM p LEFT JOIN i ON starts_with(i.id, p.prefix) GROUP BY p.prefix
+""")
+def session_prefix(spark, d):
+    ids = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("id")).distinct()
+    return search.resolve_prefix(ids, ids.select(F.substring("id", 1, 2).alias("prefix")).distinct())
+
+
+def _journal(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    used = F.when(F.col("event_type") != "error", F.col("value"))
+    return e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("journal"), "event_type", used.alias("used"), (F.col("value") * 2 + 1).alias("reserved"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+_JOURNAL = "journal AS (SELECT event_id AS request_id, user_id AS journal, event_type, CASE WHEN event_type <> 'error' THEN value END AS used, value * 2 + 1 AS reserved, ts FROM events)"
+
+
+@_query(f"WITH {_JOURNAL} SELECT journal, count(*) AS requests, count(*) FILTER (WHERE used IS NULL) AS unknown, round(sum(coalesce(used, reserved)), 4) AS charged FROM journal GROUP BY journal")
+def usage_totals(spark, d):
+    return usage.usage_totals(_journal(spark, d), "journal")
+
+
+@_query("SELECT user_id, event_type, round(sum(value), 4) AS total, max(value) AS peak, count(*) AS attempts FROM events GROUP BY user_id, event_type")
+def usage_peak(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("peak"), F.count("*").alias("attempts"))
+
+
+@_query(f"WITH {_JOURNAL}, m AS (SELECT *, request_id % 61 = 0 AS seen FROM journal) SELECT journal, count(*) FILTER (WHERE NOT seen) AS requests, round(sum(CASE WHEN NOT seen THEN coalesce(used, reserved) ELSE 0 END), 4) AS charged, CASE WHEN bool_or(seen) THEN 0 ELSE 1 END AS runs FROM m GROUP BY journal")
+def unreported_usage(spark, d):
+    j = _journal(spark, d)
+    return usage.unreported(j, j.where(F.col("request_id") % 61 == 0).select("request_id"))
+
+
+@_query("""
+WITH s AS (SELECT event_type, epoch_us(ts) AS b, epoch_us(ts) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS e FROM events),
+x AS (SELECT event_type, b AS t, 1 AS d FROM s UNION ALL SELECT event_type, e, -1 FROM s),
+m AS (SELECT event_type, t, sum(d) AS d FROM x GROUP BY 1, 2),
+r AS (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY t) AS o FROM m)
+SELECT event_type, CAST(max(o) AS BIGINT) AS peak FROM r GROUP BY event_type
+""")
+def peak_concurrency(spark, d):
+    e = table(spark, d, "events")
+    begin = F.unix_micros(F.col("ts").cast("timestamp"))
+    return usage.peak_concurrency(e.select("event_type", begin.alias("begin"), (begin + F.floor(F.col("value") * 60) * 1000000).alias("end")), "event_type")
+
+
+@_query("SELECT d.lang, count(*) AS total, count(l.quality) AS scored, round(coalesce(count(*) FILTER (WHERE l.quality = 1) / nullif(count(l.quality), 0), 0.0), 6) AS rate FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang")
+def eval_rates(spark, d):
+    j = _documents(spark, d).select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return usage.rates(j.select("lang", (F.col("quality") == 1).alias("passed")), "lang")
+
+
+@_query("SELECT event_id, user_id, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS spent, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) + value <= 500 AS admitted FROM events")
+def budget_ledger(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("value").alias("used"), F.col("value").alias("reserved"))
+    return usage.budget_ledger(e, "user_id", "event_id", 500.0).select("event_id", "user_id", "spent", "admitted")
+
+
+def _quotes(spark, d) -> DataFrame:
+    """Places of benchmark texts in the documents that hold one; the few items are bounded by the benchmark."""
+    docs, items = _documents(spark, d).select("doc_id", "text", "n_chars"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return docs.join(items, F.contains("text", F.col("quote"))).withColumn("at", T.unique_place(F.col("text"), F.col("quote"), F.lit(False)).cast("long"))
+
+
+_QUOTES = "quote AS (SELECT d.doc_id, b.item_id, d.n_chars, strpos(d.text, b.text) - 1 AS first, length(b.text) AS n, contains(substring(d.text, strpos(d.text, b.text) + 1), b.text) AS again FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+
+
+@_query(f"WITH {_QUOTES} SELECT doc_id, item_id, CASE WHEN NOT again THEN first END AS at FROM quote")
+def quote_locate(spark, d):
+    return _quotes(spark, d).select("doc_id", "item_id", "at")
+
+
+def _half_lines(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = blocks.line_blocks(_documents(spark, d))
+    units = rows.where(F.col("ord") % 3 != 1).select("doc_id", "start", "end", F.when(F.col("ord") % 3 == 0, "verified").otherwise("no_facts").alias("status"))
+    return _documents(spark, d).select("doc_id", F.col("n_chars").alias("chars")), units
+
+
+_COVER = f"""
+{_LINES}, u AS (SELECT doc_id, ord, start, start + length(text) AS "end", CASE WHEN ord % 3 = 0 THEN 'verified' ELSE 'no_facts' END AS status FROM line WHERE ord % 3 <> 1),
+g AS (SELECT doc_id, coalesce(lag("end") OVER w, 0) AS start, start AS "end", 'pending' AS status FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+t AS (SELECT d.doc_id, max(u."end") AS start, d.n_chars AS "end", 'pending' AS status FROM documents d JOIN u ON d.doc_id = u.doc_id GROUP BY d.doc_id, d.n_chars),
+cover AS (SELECT doc_id, start, "end", status FROM u UNION ALL SELECT * FROM g WHERE start < "end" UNION ALL SELECT * FROM t WHERE start < "end")
+"""
+
+
+@_query(f"WITH {_COVER} SELECT * FROM cover")
+def coverage_ranges(spark, d):
+    return coverage.coverage_ranges(*_half_lines(spark, d))
+
+
+@_query(f"WITH {_COVER} SELECT doc_id, status, CAST(sum(least(\"end\", 400) - greatest(start, 100)) AS BIGINT) AS chars FROM cover WHERE start < 400 AND 100 < \"end\" GROUP BY doc_id, status")
+def coverage_window(spark, d):
+    windows = _documents(spark, d).select("doc_id", F.lit(100).cast("long").alias("start"), F.lit(400).cast("long").alias("end"))
+    return coverage.window_coverage(coverage.coverage_ranges(*_half_lines(spark, d)), windows)
+
+
+@_query(f"WITH {_COVER} SELECT doc_id, true AS contiguous, NOT bool_or(status = 'pending') AS complete FROM cover GROUP BY doc_id")
+def coverage_valid(spark, d):
+    docs, units = _half_lines(spark, d)
+    return coverage.valid_cover(coverage.coverage_ranges(docs, units), docs)
+
+
+_NODES = f"""
+{_LINES}, b AS (SELECT doc_id, ord, max(ord + 1) OVER (PARTITION BY doc_id) AS total, ord = 0 OR length(text) < 40 AS cut FROM line),
+node AS (SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS node, ord AS start, CAST(coalesce(lead(ord) OVER w, total) AS INTEGER) AS "end" FROM b WHERE cut WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
+"""
+
+
+@_query(f"WITH {_NODES} SELECT * FROM node")
+def nav_tree(spark, d):
+    return blocks.navigation_nodes(blocks.line_blocks(_documents(spark, d)), F.length("text") < 40)
+
+
+@_query(f"WITH {_NODES} SELECT l.doc_id, l.ord, n.node FROM line l JOIN node n ON l.doc_id = n.doc_id AND l.ord >= n.start AND l.ord < n.\"end\"")
+def node_of_block(spark, d):
+    rows = blocks.line_blocks(_documents(spark, d))
+    return blocks.node_of_block(rows, blocks.navigation_nodes(rows, F.length("text") < 40))
+
+
+@_query(f"""
+WITH {_LINES}, w AS (SELECT unnest(range(1, 9)) AS width),
+c AS (SELECT l.doc_id, w.width, l.ord // w.width AS c, list(l.text ORDER BY l.ord) AS rows, sum(length(l.text) + 1) AS n FROM line l, w GROUP BY ALL),
+f AS (SELECT *, CASE WHEN len(rows) = width AND rows = lag(rows) OVER (PARTITION BY doc_id, width ORDER BY c) THEN 0 ELSE 1 END AS fresh FROM c),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, width ORDER BY c) AS run FROM f)
+SELECT DISTINCT doc_id, CAST(width AS INTEGER) AS width FROM r WHERE len(rows) = width GROUP BY doc_id, width, run HAVING count(*) >= 4 AND sum(n) >= 40
+""")
+def repetition_flag(spark, d):
+    return blocks.repetition(blocks.line_blocks(_documents(spark, d)), repeats=4, chars=40)
+
+
+@_query(f"WITH {_LINES}, s AS (SELECT doc_id, ord, CAST(length(text) AS BIGINT) AS cost, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent FROM line) SELECT doc_id, ord, least(cost, 800 - spent) AS taken, CASE WHEN 800 - spent < cost THEN 800 - spent END AS resume FROM s WHERE spent < 800")
+def char_budget_read(spark, d):
+    return blocks.budget_read(blocks.line_blocks(_documents(spark, d)), 800).select("doc_id", "ord", "taken", "resume")
+
+
+@_query(f"""
+WITH RECURSIVE {_LINES}, n AS (SELECT doc_id, ord, CAST(length(text) AS BIGINT) AS cost FROM line),
+b AS (SELECT doc_id, ord, cost AS used, 0 AS batch FROM n WHERE ord = 0
+  UNION ALL SELECT n.doc_id, n.ord, CASE WHEN b.used + n.cost <= 600 OR b.used = 0 THEN b.used + n.cost ELSE n.cost END, CASE WHEN b.used + n.cost <= 600 OR b.used = 0 THEN b.batch ELSE b.batch + 1 END FROM b JOIN n ON n.doc_id = b.doc_id AND n.ord = b.ord + 1)
+SELECT doc_id, ord, batch FROM b
+""")
+def greedy_batches(spark, d):
+    return blocks.greedy_batches(blocks.line_blocks(_documents(spark, d)), 600, F.length("text"))
+
+
+@_query("SELECT * FROM (VALUES ('3-5,7', '3,4,5,7'), ('7,3-3,x,5-2', '3,7'), ('-1,0,2', '2'), ('1-2-3', ''), (' 4 , 4', '4')) t(spec, pages)")
+def page_spec(spark, d):
+    specs = spark.createDataFrame([("3-5,7",), ("7,3-3,x,5-2",), ("-1,0,2",), ("1-2-3",), (" 4 , 4",)], "spec string")
+    return specs.select("spec", F.array_join(T.page_spec(F.col("spec")), ",").alias("pages"))
+
+
+@_query("""
+WITH b AS (SELECT doc_id, sha256(text) AS o FROM documents WHERE doc_id % 10 <> 3), a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END) AS n FROM documents WHERE doc_id % 10 <> 6)
+SELECT 'd' || coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id WHERE o IS DISTINCT FROM n
+""")
+def proposal_diff(spark, d):
+    docs = _documents(spark, d).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text")
+    before = docs.where("doc_id % 10 <> 3").select("path", F.sha2("text", 256).alias("digest"))
+    after = docs.where("doc_id % 10 <> 6").select("path", F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
+    return store.proposal(before, after)
+
+
+@_query("""
+WITH RECURSIVE r AS (SELECT doc_id AS id FROM documents WHERE doc_id % 97 = 0 UNION SELECT (r.id * 3 + 1) % 1300 FROM r WHERE r.id % 2 = 0)
+SELECT d.source, count(*) AS unused, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents d WHERE d.doc_id NOT IN (SELECT id FROM r) AND d.doc_id % 50 <> 9 GROUP BY d.source
+""")
+def reachable_gc(spark, d):
+    docs = _documents(spark, d)
+    refs = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 3 + 1) % 1300).alias("dst"))
+    kept = graph.reachable(docs.where("doc_id % 97 = 0").select(F.col("doc_id").alias("id")), refs, docs.where("doc_id % 50 = 9").select(F.col("doc_id").alias("id")))
+    unused = docs.join(kept, docs.doc_id == kept.id, "left_anti")
+    return unused.groupBy("source").agg(F.count("*").alias("unused"), F.sum("n_chars").alias("chars"))
+
+
+@_query("""
+WITH RECURSIVE h AS (SELECT DISTINCT page_id % 40 AS a, length(html) % 53 + 100 AS b FROM pages WHERE page_id % 3 = 0), e AS (SELECT a, b FROM h UNION SELECT b, a FROM h),
+r AS (SELECT a AS id, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id)
+SELECT id, CAST(min(label) AS BIGINT) AS label FROM r GROUP BY id
+""")
+def link_components(spark, d):
+    p = table(spark, d, "pages").where("page_id % 3 = 0")
+    return graph.components(p.select((F.col("page_id") % 40).alias("a"), (F.length("html") % 53 + 100).cast("long").alias("b")).distinct())
+
+
+@_query(f"WITH {_LINES} SELECT text, min(doc_id) AS first, count(*) AS uses, 'c' || row_number() OVER (ORDER BY min(doc_id * 100000 + ord)) AS label FROM line GROUP BY text HAVING count(*) > 1 AND length(text) > 60")
+def context_intern(spark, d):
+    rows = blocks.line_blocks(_documents(spark, d)).select("text", (F.col("doc_id") * 100000 + F.col("ord")).alias("place"))
+    return links.interned(rows, "text", "place", 60).select("text", F.floor(F.col("first") / 100000).alias("first"), "uses", "label")
+
+
+@_query("""
+WITH g AS (SELECT event_type, user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 600000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts) AS run FROM g)
+SELECT event_type, epoch_us(min(ts)) AS begin_us, count(*) AS events, array_to_string(list_sort(list(DISTINCT CAST(user_id AS VARCHAR))), ',') AS paths FROM s GROUP BY event_type, run
+""")
+def debounce_sessions(spark, d):
+    e = table(spark, d, "events").select("event_type", F.col("user_id").cast("string").alias("path"), "ts")
+    return watch.debounced(e, "10 minutes", "event_type").select("event_type", F.unix_micros("begin").alias("begin_us"), "events", F.array_join("paths", ",").alias("paths"))
+
+
+@_query("SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back FROM events) WHERE back <= 200")
+def ring_buffer(spark, d):
+    return watch.ring_buffer(table(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id")
+
+
+@_query("""
+WITH e AS (SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0), r AS (SELECT doc_id AS id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1),
+c AS (SELECT id, count(*) AS n FROM r GROUP BY id)
+SELECT coalesce(e.id, c.id) AS id, CASE WHEN n IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem FROM e FULL JOIN c ON e.id = c.id WHERE n IS NULL OR e.id IS NULL OR n > 1
+""")
+def coverage_reconcile(spark, d):
+    labels = table(spark, d, "labels")
+    received = labels.select(F.col("doc_id").alias("id")).unionByName(labels.where("toxic = 1").select(F.col("doc_id").alias("id")))
+    return store.reconcile(_documents(spark, d).where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")), received)
+
+
+@_query("SELECT doc_id, '[evidence:' || substring(sha256(source || '/' || doc_id), 1, 16) || ']' AS citation FROM documents")
+def short_citations(spark, d):
+    return _documents(spark, d).select("doc_id", T.short_citation(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("citation"))
+
+
+@_query("SELECT doc_id, sha256('{\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || ',\"source\":\"' || source || '\"}') AS id FROM documents")
+def content_ids(spark, d):
+    return _documents(spark, d).select("doc_id", T.content_id(F.col("lang"), F.col("n_chars"), F.col("source")).alias("id"))
+
+
+@_query("SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages")
+def page_titles(spark, d):
+    return page_source.extracted(table(spark, d, "pages")).select("page_id", "title")
