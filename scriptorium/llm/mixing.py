@@ -21,14 +21,14 @@ TOLERANCE = 1e-9
 
 def token_count(text: Column) -> Column:
     """White-space separated words."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def topic(text: Column) -> Column:
     """The form of a text: ``table`` (many bars), ``marked`` (many signs), ``short`` (under 400 code points) or ``prose``."""
     text = F.coalesce(text, F.lit(""))
     bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    signs = F.length(text) - F.length(F.translate(text, "#$%&*", ""))
+    signs = F.regexp_count(text, F.lit("[#$%&*]"))
     return F.when(bars * 50 > F.length(text), "table").when(signs * 25 > F.length(text), "marked").when(F.length(text) < 400, "short").otherwise("prose")
 
 
