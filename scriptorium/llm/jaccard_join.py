@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, small_batches
 from .components import connected_components
 from .shingles import U64, mix, shingle_sets
 
@@ -33,6 +33,9 @@ FILTER_WORDS = 1 << 17
 #: Rounds of pairs with centres of each n-gram before all pairs that are left, and centres from the second round on.
 STAR_ROUNDS = 3
 CENTRES = 8
+#: N-grams that a task holds before it counts them, and classes it remembers not to send again.
+FOLD_GRAMS = 2_000_000
+DONE_CLASSES = 200_000
 #: Fragments of the global order.
 FRAGMENTS = 4
 
@@ -70,7 +73,7 @@ def _local(k: int):
                     signs.append(_signature(s) if len(s) else 0)
                     seen.append(s)
                     held += len(s)
-                if held > 4_000_000:
+                if held > FOLD_GRAMS:
                     fold()
             n = len(sizes)
             yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "n", "sig", "gram", "count"])
@@ -121,7 +124,7 @@ def _prefixes(k: int, num: int, den: int, order):
                     sign = _signature(s)
                     if sign in done:
                         continue
-                    if len(done) < 2_000_000:
+                    if len(done) < DONE_CLASSES:
                         done.add(sign)
                     top = order.value.sort(s)[: len(s) - _needed(len(s), num, den) + 1]
                     grams.append(top)
@@ -263,6 +266,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     """
     spark: SparkSession = docs.sparkSession
     width = partitions(spark)
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     local = materialize(texts.mapInArrow(_local(k), "id long, n long, sig long, gram long, count long"), "local")
     own = local.where("n is not null").select("id", "n", "sig")

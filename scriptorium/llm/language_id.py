@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .shingles import U64, mix
 
 UNDETERMINED = "und"
@@ -61,7 +62,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(code), owner, np.bincount(owner, minlength=len(texts)).astype(bool)
 
 
-def _slices(texts: list[str], limit: int = 1 << 20):
+def _slices(texts: list[str], limit: int = 1 << 18):
     begin = size = 0
     for i, t in enumerate(texts):
         if i > begin and size + len(t) > limit:
@@ -126,6 +127,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     (at most SLOTS, the most frequent ones).  An empty table gives a filter that
     knows no language.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -173,6 +175,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", out
     corrected counts of the best two; ``share`` is the corrected share of the
     text's n-grams that the language has.  ``out_col`` must be a new name.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(text):

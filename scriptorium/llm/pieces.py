@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = "▁"
 #: Characters handled in one flat array, and distinct parts that a task remembers.
-SLICE_CHARS = 1 << 20
-MEMORY = 400_000
+SLICE_CHARS = 1 << 18
+MEMORY = 200_000
 #: Longer parts are merged with a queue, as rounds would grow with the square.
 LONG_PART = 2048
 _NONE = np.int64(1 << 40)
@@ -335,6 +337,7 @@ def token_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     ``decoded_sha256`` of the decoded text in UTF-8.  Ids may be null or repeat;
     an empty table gives an empty result; only the two named columns are read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches):

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .shingles import U64, mix, text_slices, words
 
 #: Labelled rows that the fit reads at most, those with the least hash of the id.
@@ -149,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with ``out_col``: the probability of label 1, for empty and null texts too. ``out_col`` must be a new name."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(text: pd.Series) -> pd.Series:

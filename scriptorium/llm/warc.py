@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed values of the format: skippable frames for the index and the seek table, and the footer's magic number.
 INDEX_MAGIC = 0x184D2A5D
 SEEK_MAGIC = 0x184D2A5E
@@ -136,6 +138,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     null address writes no target; an empty table writes no bundle.  Only the
     three named columns are read.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     repeated = keyed.where(F.octet_length("html") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
