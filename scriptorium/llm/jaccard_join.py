@@ -34,7 +34,7 @@ FILTER_WORDS = 1 << 17
 STAR_ROUNDS = 3
 CENTRES = 8
 #: N-grams that a task holds before it counts them, and classes it remembers not to send again.
-FOLD_GRAMS = 2_000_000
+FOLD_GRAMS = 1_000_000
 DONE_CLASSES = 200_000
 #: Fragments of the global order.
 FRAGMENTS = 4

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import small_batches
 from .shingles import U64, mix
@@ -178,26 +179,21 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", out
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(text):
-        import pandas as pd
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("share", pa.float64())])
 
-        texts, out = [t or "" for t in text], []
-        for a, b in _slices(texts):
-            out += shared.value.judge(texts[a:b])
-        return pd.DataFrame(out, columns=["lang", "score", "share"])
-
-    judged = _frame_udf(run, "struct<lang: string, score: double, share: double>")
-    return docs.withColumn(out_col, judged(F.col(text_col).cast("string")))
-
-
-def _frame_udf(run, kind: str):
-    import pandas as pd
-
-    def typed(text: pd.Series) -> pd.DataFrame:
-        return run(text)
-
-    typed.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(typed, kind)
+    def run(batches):
+        for batch in batches:
+            out = []
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in _slices([t or "" for t in texts]):
+                out += shared.value.judge([t or "" for t in texts[a:b]])
+            judged = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)] if out else [pa.array([], f.type) for f in kind], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], judged], names=[*batch.schema.names[:-1], out_col])
+
+    judged = StructType([StructField("lang", StringType()), StructField("score", DoubleType()), StructField("share", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(out_col, judged)])
+    text = F.col(text_col).cast("string")
+    return docs.select("*", text.alias(out_col)).mapInArrow(run, schema)
 
 
 def remainder(id_col: Column, modulus: int) -> Column:
