@@ -27,7 +27,7 @@ from .shingles import U64, mix, shingle_sets
 
 #: The frequent n-grams that the order names one by one: at most this many (16 bytes each reach every executor).
 #: A lower bound only makes buckets larger; results stay the same.
-ORDER_LIMIT = 1 << 19
+ORDER_LIMIT = 1 << 20
 #: Bits of the filter on ids of documents whose sets are fetched, 64 a word; more ids only let more pass.
 FILTER_WORDS = 1 << 17
 #: Rounds of pairs with centres of each n-gram before all pairs that are left, and centres from the second round on.
