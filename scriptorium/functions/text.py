@@ -113,10 +113,6 @@ def entity_types(types: Column) -> Column:
     return F.array_append(F.array_distinct(clean), F.lit("other"))
 
 
-def display_type(raw: Column) -> Column:
-    return F.when(raw == "long_pdf", "pageindex").when(raw.isin("pdf", "md", "markdown", "docx", "pptx", "xlsx", "xls", "html", "htm", "txt", "csv"), "short").otherwise(raw)
-
-
 def content_id(*columns: Column) -> Column:
     """SHA-256 of canonical JSON: pass the columns sorted by name; nulls are kept."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import blocks, coverage, graph, links, search, store, usage
+from scriptorium.operators import blocks, coverage, graph, links, search, sequences, store, usage
 from scriptorium.sources import pages as page_source
 from scriptorium.sources import table
 from scriptorium.streaming import watch
@@ -416,3 +416,47 @@ def content_ids(spark, d):
 @_query("SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages")
 def page_titles(spark, d):
     return page_source.extracted(table(spark, d, "pages")).select("page_id", "title")
+
+
+@_query("""
+WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 13 = 0 THEN '' ELSE event_type END AS kind FROM events),
+m AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AND kind <> '' THEN 0 ELSE 1 END AS fresh FROM e),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m),
+n AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY ALL)
+SELECT n.user_id, (SELECT count(DISTINCT kind) FROM e WHERE e.user_id = n.user_id AND kind <> '') AS kinds, max(n.n) AS longest FROM n GROUP BY n.user_id
+""")
+def kind_runs(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 13 == 0, "").otherwise(F.col("event_type")).alias("kind"))
+    return sequences.longest_runs(e, "user_id", "event_id", "kind")
+
+
+@_query("SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN 'KEEP' WHEN doc_id % 3 = 0 THEN 'DELETE' ELSE 'MODIFY' END AS action FROM documents")
+def removal_plan(spark, d):
+    i = F.col("doc_id")
+    sources = F.when(i % 4 == 0, F.array(F.lit("b"))).when(i % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    return sequences.removal_plan(_documents(spark, d).select(F.concat(F.lit("d"), i.cast("string")).alias("path"), sources.alias("sources")), F.lit("a"))
+
+
+@_query("""
+WITH h AS (SELECT page_id AS answer, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages), e AS (SELECT DISTINCT answer, unnest(hs) AS target FROM h)
+SELECT e.answer, e.target FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.answer = e.answer + 1 AND o.target = e.target)
+""")
+def unseen_citations(spark, d):
+    cited = links.hrefs(table(spark, d, "pages")).select(F.col("page_id").alias("answer"), F.col("href").alias("target"))
+    return sequences.unseen_targets(cited, cited.select((F.col("answer") - 1).alias("answer"), "target"))
+
+
+@_query("""
+WITH t AS (SELECT conv_id, turn, role, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+SELECT conv_id, turn FROM t WHERE total <= 600 OR k = 1
+""")
+def log_tail(spark, d):
+    return sequences.tail_within(table(spark, d, "conversations"), "conv_id", "turn", F.length("text"), 600).select("conv_id", "turn")
+
+
+@_query("""
+WITH t AS (SELECT conv_id, turn, bool_and(length(text) < 400) OVER w AS ok, sum(length(text)) OVER w AS spent FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))
+SELECT conv_id, turn FROM t WHERE ok AND spent <= 900
+""")
+def preceding_context(spark, d):
+    return sequences.preceding_while(table(spark, d, "conversations"), "conv_id", "turn", F.length("text") < 400, F.length("text"), 900).select("conv_id", "turn")
