@@ -10,8 +10,9 @@ that meet in a prefix are counted.
 Documents with equal sets form one class from the start, and pairs are only
 looked for between classes that aren't linked yet: first every class against
 one centre of each prefix n-gram, then all pairs that still lie in different
-components.  So large groups of copies give no square of pairs and no link is
-lost.
+components.  The latter are compared by their differences from a pivot, which
+are small and mostly their own, where their sets have nearly all in common.
+So large groups of copies give no square of pairs and no link is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ FILTER_WORDS = 1 << 17
 #: Rounds of pairs with centres of each n-gram before all pairs that are left, and centres from the second round on.
 STAR_ROUNDS = 3
 CENTRES = 8
+#: Open classes of an n-gram whose pairs are counted one by one (3.5 rows a class at most); with more, pivots stand between.
+LIGHT = 8
 #: N-grams that a task holds before it counts them, and classes it remembers not to send again.
 FOLD_GRAMS = 1_000_000
 DONE_CLASSES = 200_000
@@ -246,6 +249,65 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(tagged.join(mixed, "gram", "left_semi"), "open")
 
 
+def _near_pivots(members: DataFrame) -> DataFrame:
+    """Each class with a pivot of each of its n-grams: the member with the least hash, so mostly the same one in a group."""
+    pivots = members.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), F.col("sig").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))).alias("pivot"))
+    near = members.join(pivots.select("gram", "pivot.p", "pivot.pn", "pivot.pl"), "gram").where("sig <> p").select("p", "pn", "pl", "sig", "n", "label").distinct()
+    return materialize(near, "near")
+
+
+def _linked_by_pivots(near: DataFrame, segments: DataFrame, num: int, den: int, fragments: int) -> DataFrame:
+    """Links ``(a, b)`` among the classes of each pivot that lie in different components.
+
+    A class is held as its symmetric difference X from the pivot, so what a
+    large group has in common drops out.  For two classes |x ^ y| is
+    |X| + |Y| - 2 |X & Y|, thus they link when 2 (den + num) |X & Y| reaches
+    the sum of their excesses, (den + num) |X| - (den - num) |x|.  If that sum
+    is 0 or less, both link with the pivot.  Otherwise they share an n-gram of
+    a prefix of their differences, rarest first, whose length follows from the
+    least excesses of their bands.  The overlap of a pair is counted by
+    fragment and summed.
+    """
+    total, gap = den + num, den - num
+    sets = segments.dropDuplicates(["sig", "frag"])
+    none = F.array().cast("array<bigint>")
+    cut = near.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(fragments)])))
+    cut = cut.join(sets.select("sig", "frag", F.col("grams").alias("gx")), ["sig", "frag"], "left").join(sets.select(F.col("sig").alias("p"), "frag", F.col("grams").alias("gp")), ["p", "frag"], "left")
+    gx, gp = F.coalesce("gx", none), F.coalesce("gp", none)
+    parts = materialize(cut.select("p", "pn", "pl", "sig", "n", "label", "frag", F.concat(F.array_except(gx, gp), F.array_except(gp, gx)).alias("diff")), "differences")
+    _let_go(near.sparkSession)
+
+    sized = parts.groupBy("p", "pn", "pl", "sig", "n", "label").agg(F.sum(F.size("diff")).alias("d"))
+    meets = F.col("d") * total <= (F.col("n").cast("long") + F.col("pn")) * gap
+    excess = F.col("d") * total - F.col("n").cast("long") * gap
+    band = F.floor(4 * F.log2(1 + (excess + F.col("pn").cast("long") * gap) / (F.col("pn").cast("long") * gap))).cast("int") if gap else F.lit(0)
+    sized = materialize(sized.select("p", "sig", "n", "d", meets.alias("meets"), F.when(meets, F.col("pl")).otherwise(F.col("label")).alias("label"), excess.alias("e"), band.alias("band")), "excesses")
+
+    grams = parts.select("p", "sig", F.explode("diff").alias("gram"))
+    uses = grams.groupBy("p", "gram").agg(F.count("*").alias("uses"))
+    ranked = grams.join(uses, ["p", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("p", "sig").orderBy("uses", "gram"))).where("uses > 1")
+    floors = sized.groupBy("p", "band").agg(F.min("e").alias("least")).groupBy("p").agg(F.collect_list(F.struct("band", "least")).alias("bands"))
+    held = sized.join(floors, "p")
+    own = F.expr("filter(bands, b -> b.band = band)[0].least")
+    held = held.withColumn("own", own).select("p", "sig", "n", "label", "e", "d", "band", "own", F.explode("bands").alias("o"))
+    held = held.withColumn("least", F.greatest(F.lit(1), F.ceil((F.col("own") + F.col("o.least")) / (2 * total)))).where("d >= least")
+    reach = held.select("p", "sig", "n", "label", "e", "band", F.col("o.band").alias("other"), "least", (F.col("d") - F.col("least") + 1).alias("upto"))
+    posts = materialize(ranked.join(reach, ["p", "sig"]).where("place <= upto").select("p", "gram", "sig", "n", "label", "e", "band", "other", "least"), "prefixes")
+    _let_go(near.sparkSession)
+    x = posts.select("p", "gram", "band", "other", "least", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("e").alias("ea"))
+    y = posts.select("p", "gram", F.col("other").alias("band"), F.col("band").alias("other"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("e").alias("eb"))
+    need = F.ceil((F.col("ea") + F.col("eb")) / (2 * total))
+    once = (F.col("band") < F.col("other")) | ((F.col("band") == F.col("other")) & (F.col("a") < F.col("b")))
+    shared = x.join(y, ["p", "gram", "band", "other"]).where(once & (F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("nb"), num, den))
+    pairs = materialize(shared.groupBy("p", "a", "b", need.alias("need"), "least").agg(F.count("*").alias("met")).where("met > need - least").select("p", "a", "b", "need"), "rest")
+
+    diffs = parts.select("p", "sig", "frag", "diff")
+    counted = pairs.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(fragments)])))
+    counted = counted.join(diffs.withColumnsRenamed({"sig": "a", "diff": "da"}), ["p", "a", "frag"]).join(diffs.withColumnsRenamed({"sig": "b", "diff": "db"}), ["p", "b", "frag"])
+    overlap = counted.groupBy("p", "a", "b", "need").agg(F.sum(F.size(F.array_intersect("da", "db"))).alias("c"))
+    return materialize(sized.where("meets").select(F.col("p").alias("a"), F.col("sig").alias("b")).unionByName(overlap.where("c >= need").select("a", "b")), "pivot-links")
+
+
 def _let_go(spark: SparkSession) -> None:
     """Shuffle files that nothing refers to any more are removed once the driver collects its garbage."""
     spark.sparkContext._jvm.System.gc()
@@ -278,10 +340,12 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     _let_go(spark)
     classes = own.where("n > 0").groupBy("sig").agg(F.min("id").alias("least_id"))
 
+    def fetched(signs: DataFrame) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(_id_filter(classes.join(signs.distinct(), "sig", "left_semi").where("least_id is not null").select(F.col("least_id").alias("id"))))
+        return materialize(texts.where("id is not null").mapInArrow(_segments(k, order, wanted, FRAGMENTS), "sig long, frag int, grams array<long>"), "segments")
+
     def linked(pairs: DataFrame) -> DataFrame:
-        sides = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        wanted = spark.sparkContext.broadcast(_id_filter(classes.join(sides, "sig", "left_semi").where("least_id is not null").select(F.col("least_id").alias("id"))))
-        segments = materialize(texts.where("id is not null").mapInArrow(_segments(k, order, wanted, FRAGMENTS), "sig long, frag int, grams array<long>"), "segments")
+        segments = fetched(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))
         out = materialize(_linked(pairs, segments, num, den, FRAGMENTS), "links")
         _let_go(spark)
         return out
@@ -302,9 +366,15 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
         labels = connected_components(links)
         tagged = _open(members, labels)
 
-    # Then all pairs that share prefix n-grams and aren't connected yet.
-    left = tagged.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = tagged.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    # Then all pairs that share prefix n-grams and aren't connected yet.  Those that share one with many classes are
+    # compared by their differences from its pivot; others share light n-grams only, so their count of these is whole.
+    crowds = materialize(tagged.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > LIGHT).select("gram"), "crowds")
+    near = _near_pivots(tagged.join(crowds, "gram", "left_semi"))
+    links = links.unionByName(_linked_by_pivots(near, fetched(near.select("sig").union(near.select("p"))), num, den, FRAGMENTS))
+    _let_go(spark)
+    light = tagged.join(crowds, "gram", "left_anti")
+    left = light.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = light.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     rest = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("nb"), num, den)).select("a", "na", "b", "nb")
     joined = connected_components(links.unionByName(linked(materialize(_promising(rest, num, den), "rest"))))
 
