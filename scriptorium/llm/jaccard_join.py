@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, small_batches
+from .common import materialize, partitions, release, small_batches
 from .components import connected_components
 from .shingles import U64, mix, shingle_sets
 
@@ -275,6 +275,7 @@ def _linked_by_pivots(near: DataFrame, segments: DataFrame, num: int, den: int,
     cut = cut.join(sets.select("sig", "frag", F.col("grams").alias("gx")), ["sig", "frag"], "left").join(sets.select(F.col("sig").alias("p"), "frag", F.col("grams").alias("gp")), ["p", "frag"], "left")
     gx, gp = F.coalesce("gx", none), F.coalesce("gp", none)
     parts = materialize(cut.select("p", "pn", "pl", "sig", "n", "label", "frag", F.concat(F.array_except(gx, gp), F.array_except(gp, gx)).alias("diff")), "differences")
+    release(segments)
     _let_go(near.sparkSession)
 
     sized = parts.groupBy("p", "pn", "pl", "sig", "n", "label").agg(F.sum(F.size("diff")).alias("d"))
@@ -305,7 +306,9 @@ def _linked_by_pivots(near: DataFrame, segments: DataFrame, num: int, den: int,
     counted = pairs.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(fragments)])))
     counted = counted.join(diffs.withColumnsRenamed({"sig": "a", "diff": "da"}), ["p", "a", "frag"]).join(diffs.withColumnsRenamed({"sig": "b", "diff": "db"}), ["p", "b", "frag"])
     overlap = counted.groupBy("p", "a", "b", "need").agg(F.sum(F.size(F.array_intersect("da", "db"))).alias("c"))
-    return materialize(sized.where("meets").select(F.col("p").alias("a"), F.col("sig").alias("b")).unionByName(overlap.where("c >= need").select("a", "b")), "pivot-links")
+    out = materialize(sized.where("meets").select(F.col("p").alias("a"), F.col("sig").alias("b")).unionByName(overlap.where("c >= need").select("a", "b")), "pivot-links")
+    release(parts, sized, posts, pairs)
+    return out
 
 
 def _let_go(spark: SparkSession) -> None:
@@ -347,6 +350,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     def linked(pairs: DataFrame) -> DataFrame:
         segments = fetched(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))
         out = materialize(_linked(pairs, segments, num, den, FRAGMENTS), "links")
+        release(pairs, segments)
         _let_go(spark)
         return out
 
@@ -358,17 +362,20 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     links = linked(materialize(_promising(met.where(fits).select(*ordered), num, den), "star"))
     labels = connected_components(links)
     tagged = _open(members, labels)
+    release(met)
     for turn in range(1, STAR_ROUNDS):
         drawn = F.row_number().over(Window.partitionBy("gram").orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
         centres = tagged.withColumn("place", drawn).where(F.col("place") <= CENTRES).select("gram", F.col("sig").alias("centre"), F.col("n").alias("centre_n"), F.col("label").alias("centre_label"))
         star = tagged.join(centres, "gram").where(fits & (F.col("label") != F.col("centre_label"))).select(*ordered)
         links = links.unionByName(linked(materialize(_promising(star, num, den), "star")))
         labels = connected_components(links)
-        tagged = _open(members, labels)
+        before, tagged = tagged, _open(members, labels)
+        release(before)
 
     # Then all pairs that share prefix n-grams and aren't connected yet.  Those that share one with many classes are
     # compared by their differences from its pivot; others share light n-grams only, so their count of these is whole.
     crowds = materialize(tagged.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > LIGHT).select("gram"), "crowds")
+    release(members)
     near = _near_pivots(tagged.join(crowds, "gram", "left_semi"))
     links = links.unionByName(_linked_by_pivots(near, fetched(near.select("sig").union(near.select("p"))), num, den, FRAGMENTS))
     _let_go(spark)
