@@ -362,12 +362,12 @@ def reachable_gc(spark, d):
 
 
 @_query("""
-WITH RECURSIVE h AS (SELECT DISTINCT page_id % 40 AS a, length(html) % 53 + 100 AS b FROM pages WHERE page_id % 3 = 0), e AS (SELECT a, b FROM h UNION SELECT b, a FROM h),
+WITH RECURSIVE h AS (SELECT DISTINCT page_id % 40 AS a, length(html) % 53 + 100 AS b FROM pages), e AS (SELECT a, b FROM h UNION SELECT b, a FROM h),
 r AS (SELECT a AS id, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id)
 SELECT id, CAST(min(label) AS BIGINT) AS label FROM r GROUP BY id
 """)
 def link_components(spark, d):
-    p = table(spark, d, "pages").where("page_id % 3 = 0")
+    p = table(spark, d, "pages")
     return graph.components(p.select((F.col("page_id") % 40).alias("a"), (F.length("html") % 53 + 100).cast("long").alias("b")).distinct())
 
 
@@ -393,14 +393,14 @@ def ring_buffer(spark, d):
 
 
 @_query("""
-WITH e AS (SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0), r AS (SELECT doc_id AS id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1),
+WITH e AS (SELECT doc_id AS id FROM documents), r AS (SELECT doc_id AS id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1),
 c AS (SELECT id, count(*) AS n FROM r GROUP BY id)
 SELECT coalesce(e.id, c.id) AS id, CASE WHEN n IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem FROM e FULL JOIN c ON e.id = c.id WHERE n IS NULL OR e.id IS NULL OR n > 1
 """)
 def coverage_reconcile(spark, d):
     labels = table(spark, d, "labels")
     received = labels.select(F.col("doc_id").alias("id")).unionByName(labels.where("toxic = 1").select(F.col("doc_id").alias("id")))
-    return store.reconcile(_documents(spark, d).where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")), received)
+    return store.reconcile(_documents(spark, d).select(F.col("doc_id").alias("id")), received)
 
 
 @_query("SELECT doc_id, '[evidence:' || substring(sha256(source || '/' || doc_id), 1, 16) || ']' AS citation FROM documents")
