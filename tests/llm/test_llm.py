@@ -47,8 +47,8 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_jaccard_equals_brute_force(spark, docs, empty):
-    rows = [(r["doc_id"], shingles(r["text"])) for r in docs.collect()]
+def brute_components(rows):
+    """``(doc_id, n_shingles, component_id)`` of rows ``(doc_id, set)``, each pair compared."""
     parent = list(range(len(rows)))
 
     def find(i):
@@ -64,12 +64,32 @@ def test_jaccard_equals_brute_force(spark, docs, empty):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    want = sorted(((d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(rows)), key=repr)
+    return sorted(((d, len(s), least.get(find(i)) if s else d) for i, (d, s) in enumerate(rows)), key=repr)
+
+
+def test_jaccard_equals_brute_force(spark, docs, empty):
+    want = brute_components([(r["doc_id"], shingles(r["text"])) for r in docs.collect()])
     got = jaccard_join.jaccard_components(docs, "doc_id", "text", num=80, den=100)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
     assert jaccard_join.jaccard_components(empty, "doc_id", "text").count() == 0
 
 
+def test_jaccard_of_a_crowd_around_the_threshold(spark):
+    """Near copies of one text with few and many edits, more of them than light n-grams have, go through pivots."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(1, 7)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w[rng.randint(0, 6) :])))
+    want = brute_components([(i, shingles(t)) for i, t in rows])
+    assert 3 < len({c for _, _, c in want}) < 150
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", num=80, den=100)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
 def test_url_rules(spark):
     urls = ["http://a.COM/en/1", "http://example.com/en/7x?q", "http://xexample.com/en/7", "https://x.example.net/de/81", "http://net/de/", "http://org/en/", "no-scheme", None, "http://com/en", "ftp://b.org/es/#f", "http://com/en/"]
     pages = spark.createDataFrame([(i if i else None, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
