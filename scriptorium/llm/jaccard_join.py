@@ -270,9 +270,10 @@ def _linked_by_pivots(near: DataFrame, segments: DataFrame, num: int, den: int,
     """
     total, gap = den + num, den - num
     sets = segments.dropDuplicates(["sig", "frag"])
+    pivots = segments.join(near.select(F.col("p").alias("sig")).distinct(), "sig", "left_semi").dropDuplicates(["sig", "frag"])
     none = F.array().cast("array<bigint>")
     cut = near.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(fragments)])))
-    cut = cut.join(sets.select("sig", "frag", F.col("grams").alias("gx")), ["sig", "frag"], "left").join(sets.select(F.col("sig").alias("p"), "frag", F.col("grams").alias("gp")), ["p", "frag"], "left")
+    cut = cut.join(sets.select("sig", "frag", F.col("grams").alias("gx")), ["sig", "frag"], "left").join(pivots.select(F.col("sig").alias("p"), "frag", F.col("grams").alias("gp")), ["p", "frag"], "left")
     gx, gp = F.coalesce("gx", none), F.coalesce("gp", none)
     parts = materialize(cut.select("p", "pn", "pl", "sig", "n", "label", "frag", F.concat(F.array_except(gx, gp), F.array_except(gp, gx)).alias("diff")), "differences")
     release(segments)
