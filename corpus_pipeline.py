@@ -44,8 +44,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the target shares of source, language and topic."""
-    return mixed(docs.select(*COLUMNS)).where("mix_kept").select(*COLUMNS)
+    """Samples documents to the target shares of source, language and topic; scarce ones come as several rows, all together no more than are read."""
+    taken = mixed(docs.select(*COLUMNS), within_rows=True).where("mix_kept")
+    return taken.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,14 +56,15 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-def mixed(docs: DataFrame, budget: float = MIX_BUDGET) -> DataFrame:
+def mixed(docs: DataFrame, budget: float = MIX_BUDGET, within_rows: bool = False) -> DataFrame:
     targets = {"source": SOURCE_SHARES, "lang": LANGUAGE_SHARES, "topic": TOPIC_SHARES}
     columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
-    return mixing.mix(docs, targets, columns, mixing.token_count(F.col("text")), budget)
+    return mixing.mix(docs, targets, columns, mixing.token_count(F.col("text")), budget, within_rows=within_rows)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "mix_source", "mix_lang", "mix_topic", F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+    shares = [F.col(f"mix_{m}_{x}").alias(f"{m}_{x}") for m in ("source", "lang", "topic") for x in ("goal", "share")]
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "mix_source", "mix_lang", "mix_topic", *[F.col(f"mix_{x}").alias(x) for x in ("tokens", "weight", "expected", "probability", "copies", "kept")], *shares)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,6 +257,30 @@ def test_mixing(spark, docs, empty):
     assert queries.mixed(empty).count() == 0
 
 
+def test_mixing_of_scarce_values(spark):
+    """Scarce values get their share of the kept tokens by repeats, and what the limit of copies leaves short is told."""
+    cells = {("a", "x"): 900.0, ("a", "y"): 40.0, ("b", "x"): 50.0, ("b", "y"): 10.0}
+    margins = [{"a": 0.5, "b": 0.5}, {"x": 0.7, "y": 0.3}]
+    weights, _ = mixing.rake(cells, margins)
+    for limit in (64.0, 7.0, 6.0):
+        copies = mixing.calibrated(cells, weights, 0.6, margins, limit)
+        got = mixing.realised(cells, copies, 2)
+        assert max(copies.values()) <= limit and (limit == 64 or limit in copies.values())
+        if limit > 6:
+            assert abs(got[0]["b"] - 0.5) < 1e-6 and abs(got[1]["y"] - 0.3) < 1e-6
+            assert abs(sum(cells[k] * c for k, c in copies.items()) - 600) < 1e-3
+    few = mixing.realised(cells, mixing.calibrated(cells, weights, 0.6, margins, 2.0), 2)
+    assert few[0]["b"] < 0.4, "60 tokens twice are no half of 600"
+    rows = [(i, " ".join(["word"] * 100), "a" if i % 20 else "b") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for within in (False, True):
+        out = mixing.mix(df, {"source": {"a": 0.5, "b": 0.5}}, {"source": F.col("source")}, mixing.token_count(F.col("text")), 0.6 if not within else 1.5, within_rows=within).collect()
+        taken = sum(r["mix_copies"] for r in out)
+        assert abs(sum(r["mix_copies"] for r in out if r["source"] == "b") / taken - 0.5) < 0.03
+        assert abs(taken - (2000 if within else 1200)) < 60
+        assert all(r["mix_source_goal"] == 0.5 and abs(r["mix_source_share"] - 0.5) < 1e-6 for r in out)
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as p
 
