@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 OTHER = "(other)"
 ITERATIONS = 200
 TOLERANCE = 1e-9
+#: Named targets that leave less than this of 1 leave nothing to ``(other)``.
+LEAST_LEFT = 1e-6
 #: Rounds of raking under the limit of copies, and that limit; a target that needs more copies is infeasible and shows in its share.
 BOUNDED_ITERATIONS = 1000
 MOST_COPIES = 64
@@ -43,12 +45,20 @@ def goals(cells: dict[tuple, float], margins: list[dict[str, float]]) -> list[di
     """The share of tokens that each value with a cell is to get, per margin.
 
     Targets of values without any cell are given to the others in proportion;
-    ``(other)`` gets what the named targets leave of 1 (at least nothing).
+    ``(other)`` gets what the named targets leave of 1.  Where they leave
+    nothing, it keeps its own share of the tokens and the named values share the
+    rest, so that nulls and values that no target names are drawn too.
     """
+    total = sum(cells.values())
     out = []
     for m, targets in enumerate(margins):
         values = sorted({k[m] for k in cells})
-        want = np.array([targets.get(v, max(0.0, 1 - sum(targets.values())) if v == OTHER else 0.0) for v in values])
+        left = 1 - sum(targets.values())
+        want = np.array([targets.get(v, max(0.0, left) if v == OTHER else 0.0) for v in values])
+        if OTHER in values and OTHER not in targets and left < LEAST_LEFT and total > 0:
+            own = sum(n for k, n in cells.items() if k[m] == OTHER) / total
+            want *= (1 - own) / (want.sum() or 1.0)
+            want[values.index(OTHER)] = own
         if want.sum() <= 0:
             want = np.ones(len(values))
         out.append(dict(zip(values, (want / want.sum()).tolist(), strict=True)))
@@ -66,7 +76,7 @@ def rake(cells: dict[tuple, float], margins: list[dict[str, float]]) -> tuple[di
     mass = np.array([cells[k] for k in keys], float)
     total = mass.sum()
     wanted, owners = [], []
-    for m, shares in enumerate(goals(dict.fromkeys(keys), margins)):
+    for m, shares in enumerate(goals({k: cells[k] for k in keys}, margins)):
         wanted.append(np.array(list(shares.values())) * total)
         owners.append(np.array([list(shares).index(k[m]) for k in keys]))
     weight = np.ones(len(keys))
@@ -146,7 +156,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], columns: dict[str
     Beside each document stand the share of tokens that is the goal of its value
     of each margin and the share that the expected copies reach, which is lower
     only for a target that the limit of copies makes infeasible.  Null values of a margin count as
-    ``(other)``; a null id draws like any id; documents without tokens carry no
+    ``(other)``, which is drawn like a named value; a null id draws like any id; documents without tokens carry no
     mass and are taken like their cell.  An empty table gives an
     empty result.  The table of cells (at most the product of the numbers of
     named values plus one) is all that reaches the driver.

@@ -281,6 +281,23 @@ def test_mixing_of_scarce_values(spark):
         assert all(r["mix_source_goal"] == 0.5 and abs(r["mix_source_share"] - 0.5) < 1e-6 for r in out)
 
 
+def test_mixing_draws_values_that_no_target_names(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, " ".join([f"w{i}"] * 100), [None, "xx", "en", "fr", "de", "es"][i % 6], [f"src{i % 20}", "src20", None][i // 6 % 3], 1) for i in range(3600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = queries.mixed(df).collect()
+    assert min(r["mix_probability"] for r in out) > 0.01
+    whole = sum(r["mix_copies"] for r in out)
+    for column, goal in (("source", 2 / 3), ("lang", 1 / 3)):
+        assert all(abs(r[f"mix_{column}_goal"] - goal) < 1e-6 for r in out if r[f"mix_{column}"] == mixing.OTHER)
+        assert abs(sum(r["mix_copies"] for r in out if r[f"mix_{column}"] == mixing.OTHER) / whole - goal) < 0.05
+    kept = p.mixing_stage(spark, df, "").collect()
+    assert {"src20", None} <= {r["source"] for r in kept} and {"xx", None} <= {r["lang"] for r in kept}
+    weights, _ = mixing.rake({("a",): 50.0, (mixing.OTHER,): 50.0}, [{"a": 0.8}])
+    assert abs(50 * weights[mixing.OTHER,] - 20) < 1e-6, "what the targets leave of 1 stays the share of the others"
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as p
 
