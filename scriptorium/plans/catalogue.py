@@ -45,11 +45,11 @@ def _documents(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _wiki(spark, d) -> DataFrame:
+def _wiki(spark, d, size: int = 1300) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang")
     i = F.col("doc_id")
     other = lambda n: F.concat(F.col("lang"), F.lit("/d"), n.cast("string"))
-    made = F.when(i % 5 == 0, F.array().cast("array<string>")).when(i % 7 == 0, F.array(other(i), F.concat(F.lit("d"), (i + 1).cast("string")))).otherwise(F.array(other((i * 7 + 3) % 1300), F.upper(other((i * 3 + 1) % 1300)), F.concat(F.lit("d"), ((i * 11) % 1300).cast("string"))))
+    made = F.when(i % 5 == 0, F.array().cast("array<string>")).when(i % 7 == 0, F.array(other(i), F.concat(F.lit("d"), (i + 1).cast("string")))).otherwise(F.array(other((i * 7 + 3) % size), F.upper(other((i * 3 + 1) % size)), F.concat(F.lit("d"), ((i * 11) % size).cast("string"))))
     return docs.select(other(i).alias("path"), made.alias("links"))
 
 
@@ -354,8 +354,12 @@ WITH RECURSIVE r AS (SELECT doc_id AS id FROM documents WHERE doc_id % 97 = 0 UN
 SELECT d.source, count(*) AS unused, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents d WHERE d.doc_id NOT IN (SELECT id FROM r) AND d.doc_id % 50 <> 9 GROUP BY d.source
 """)
 def reachable_gc(spark, d):
+    return _unused(spark, d, 1300)
+
+
+def _unused(spark, d, size: int) -> DataFrame:
     docs = _documents(spark, d)
-    refs = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 3 + 1) % 1300).alias("dst"))
+    refs = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 3 + 1) % size).alias("dst"))
     kept = graph.reachable(docs.where("doc_id % 97 = 0").select(F.col("doc_id").alias("id")), refs, docs.where("doc_id % 50 = 9").select(F.col("doc_id").alias("id")))
     unused = docs.join(kept, docs.doc_id == kept.id, "left_anti")
     return unused.groupBy("source").agg(F.count("*").alias("unused"), F.sum("n_chars").alias("chars"))
@@ -371,6 +375,40 @@ def link_components(spark, d):
     return graph.components(p.select((F.col("page_id") % 40).alias("a"), (F.length("html") % 53 + 100).cast("long").alias("b")).distinct())
 
 
+# The SQL of the queries above fixes the places that links and references point to, or folds the pages, whatever the size.
+# These run the same operators over graphs that grow with the tables.
+
+
+def _whole_wiki(spark, d) -> DataFrame:
+    return _wiki(spark, d, max(1, table(spark, d, "documents").count()))
+
+
+def _whole(name: str, sql: str, operator: Callable[[DataFrame], DataFrame]) -> None:
+    def run(spark, d):
+        return operator(_whole_wiki(spark, d))
+
+    run.__name__ = f"whole_{name}"
+    _query(sql.replace("% 1300", "% (SELECT count(*) FROM documents)"))(run)
+
+
+for _name, _operator in (("broken_links", links.broken_links), ("orphans", links.orphans), ("graph_edges", links.graph_edges), ("graph_degrees", links.degrees), ("link_fix", links.repaired_links), ("reading_links", links.resolved_readings)):
+    _whole(_name, _SQL[_name], _operator)
+
+
+@_query(_SQL["reachable_gc"].replace("% 1300", "% (SELECT count(*) FROM documents)"))
+def whole_reachable_gc(spark, d):
+    return _unused(spark, d, max(1, table(spark, d, "documents").count()))
+
+
+@_query("")
+def page_components(spark, d):
+    """Every page with the least page that it reaches over shared link targets; the recursive SQL would hold each pair."""
+    pages = table(spark, d, "pages").where("page_id is not null")
+    cited = links.hrefs(pages).select("page_id", "href").distinct()
+    first = cited.groupBy("href").agg(F.min("page_id").alias("b"))
+    return graph.components(cited.join(first, "href").select(F.col("page_id").alias("a"), "b").unionByName(pages.select(F.col("page_id").alias("a"), F.col("page_id").alias("b"))))
+
+
 @_query(f"WITH {_LINES} SELECT text, min(doc_id) AS first, count(*) AS uses, 'c' || row_number() OVER (ORDER BY min(doc_id * 100000 + ord)) AS label FROM line GROUP BY text HAVING count(*) > 1 AND length(text) > 60")
 def context_intern(spark, d):
     rows = blocks.line_blocks(_documents(spark, d)).select("text", (F.col("doc_id") * 100000 + F.col("ord")).alias("place"))
