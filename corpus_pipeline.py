@@ -28,10 +28,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id; wordless documents stay."""
-    groups = jaccard_join.jaccard_components(docs, "doc_id", "text", num=80, den=100)
-    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["first_id"]), "left_semi").select(*COLUMNS)
+    """Keeps of each group of near duplicates the document with the smallest id; wordless documents stay, and ids come before nulls."""
+    keyed, key = docs, "doc_id"
+    if docs.where("doc_id is null").limit(1).count():
+        key = "row_key"
+        last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        keyed = materialize(docs.select(*COLUMNS, F.coalesce("doc_id", F.monotonically_increasing_id() + F.lit(last + 1)).alias(key)), "keyed")
+    groups = jaccard_join.jaccard_components(keyed, key, "text", num=80, den=100)
+    firsts = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
+    kept = keyed.join(firsts, keyed[key] == firsts["first_id"], "left_semi").select(*COLUMNS)
     # Rows that repeat an id are copies of one document.
     return kept.dropDuplicates(["doc_id", "text"])
 

@@ -163,16 +163,19 @@ def _crowded(batches):
         last = (g[f], s[f], n[f])
 
 
-def _segments(k: int, order, wanted, fragments: int):
-    """Sets of the documents whose id passes the filter, cut by fragment."""
+def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.view(U64)) % U64(len(bits) * 64)
+    return (bits[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1)
+
+
+def _segments(k: int, order, wanted, fragments: int, by_sign: bool = False):
+    """Sets of the documents whose id, or with ``by_sign`` whose class, passes the filter, cut by fragment."""
 
     def run(batches):
         bits = wanted.value
         step = U64((1 << 64) // max(1, fragments - 1)) if fragments > 1 else U64(0)
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            h = mix(ids.astype(np.int64).view(U64)) % U64(len(bits) * 64)
-            passed = np.flatnonzero((bits[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1))
+            passed = np.arange(batch.num_rows) if by_sign else np.flatnonzero(_passes(bits, batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)))
             if not len(passed):
                 continue
             signs, frags, parts = [], [], []
@@ -180,7 +183,10 @@ def _segments(k: int, order, wanted, fragments: int):
                 for s in sets:
                     if not len(s):
                         continue
-                    sign, rank = _signature(s), order.value.of(s)
+                    sign = _signature(s)
+                    if by_sign and not _passes(bits, np.array([sign], np.int64))[0]:
+                        continue
+                    rank = order.value.of(s)
                     rare = s[rank == 0]
                     pieces = np.split(rare, np.searchsorted(rare, [step * U64(i) for i in range(1, fragments - 1)])) if fragments > 1 else [s]
                     if fragments > 1:
@@ -344,9 +350,17 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     _let_go(spark)
     classes = own.where("n > 0").groupBy("sig").agg(F.min("id").alias("least_id"))
 
+    nameless = own.where("id is null and n > 0").limit(1).count() > 0
+
     def fetched(signs: DataFrame) -> DataFrame:
-        wanted = spark.sparkContext.broadcast(_id_filter(classes.join(signs.distinct(), "sig", "left_semi").where("least_id is not null").select(F.col("least_id").alias("id"))))
-        return materialize(texts.where("id is not null").mapInArrow(_segments(k, order, wanted, FRAGMENTS), "sig long, frag int, grams array<long>"), "segments")
+        asked = classes.join(signs.distinct(), "sig", "left_semi")
+        kinds = "sig long, frag int, grams array<long>"
+        wanted = spark.sparkContext.broadcast(_id_filter(asked.where("least_id is not null").select(F.col("least_id").alias("id"))))
+        sets = texts.where("id is not null").mapInArrow(_segments(k, order, wanted, FRAGMENTS), kinds)
+        if nameless:  # Classes without any id are found by their signature, one set of each.
+            unnamed = spark.sparkContext.broadcast(_id_filter(asked.where("least_id is null").select(F.col("sig").alias("id"))))
+            sets = sets.unionByName(texts.where("id is null").mapInArrow(_segments(k, order, unnamed, FRAGMENTS, by_sign=True), kinds).dropDuplicates(["sig", "frag"]))
+        return materialize(sets, "segments")
 
     def linked(pairs: DataFrame) -> DataFrame:
         segments = fetched(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))

@@ -90,6 +90,26 @@ def test_jaccard_of_a_crowd_around_the_threshold(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
 
 
+def test_jaccard_over_texts_without_ids(spark):
+    """A near copy and a bridge that have no id link like others; the pipeline keeps no copy of a document that has one."""
+    import corpus_pipeline as p
+
+    base = [f"w{i}" for i in range(100)]
+    edited = lambda *at: " ".join("e" + w if i in at else w for i, w in enumerate(base))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, edited(20, 40)), (None, edited()), (9, edited(60, 80)), (None, edited(20)), (None, other), (None, other + " end"), (3, "far from all of them")]
+    want = brute_components([(i, shingles(t)) for i, t in rows])
+    assert [c for i, _, c in want if i == 9] == [7]
+    far = brute_components([(i, shingles(t)) for i, t in rows if i is not None])
+    assert [c for i, _, c in far if i == 9] == [9], "only the bridge links them"
+    df = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = jaccard_join.jaccard_components(df, "doc_id", "text", num=80, den=100)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+    kept = [(r["doc_id"], r["text"]) for r in p.jaccard_stage(spark, df, "").collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [3, 7]
+    assert len([t for i, t in kept if i is None]) == 1 and all(t.startswith("v0") for i, t in kept if i is None)
+
+
 def test_url_rules(spark):
     urls = ["http://a.COM/en/1", "http://example.com/en/7x?q", "http://xexample.com/en/7", "https://x.example.net/de/81", "http://net/de/", "http://org/en/", "no-scheme", None, "http://com/en", "ftp://b.org/es/#f", "http://com/en/"]
     pages = spark.createDataFrame([(i if i else None, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
