@@ -237,6 +237,19 @@ def test_secrets(spark, empty):
     assert secret_scan.digest(secret_scan.scan(empty)).count() == 0
 
 
+def test_secrets_of_owners_with_several_repositories(spark):
+    """Owners and repositories are counted apart where they are two columns."""
+    spread, single, owned = "Zq81kLmNo22pPqRsTuVw9", "Yp72jKlMn33qQrStUvWx8", "Xo63iJkLm44rRsTuVwXy7"
+    rows = [(10 + i, f"x {spread}", "one", f"r{i}") for i in range(secret_scan.MAX_REPOSITORIES + 1)]
+    rows += [(30 + i, f"x {single}", "one", "r0") for i in range(5)]
+    rows += [(40 + i, f"x {owned}", f"o{i}", "r0") for i in range(secret_scan.MAX_OWNERS + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, who string, place string")
+    found = {r["doc_id"]: r["found"] for r in secret_scan.scan(df, owner_col="who", repository_col="place").collect()}
+    assert not found[10] and not found[40], "many repositories of one owner, and many owners of one repository, make an example"
+    assert [(s["owners"], s["repositories"], s["verdict"]) for s in found[30]] == [(1, 1, "live")]
+    assert secret_scan.scan(df, owner_col="who", repository_col="who").where("doc_id = 10").first()["found"], "the owner alone would not tell"
+
+
 def test_language_id(spark, docs, empty):
     rows = [(i, t, k) for i in range(40) for k, t in (("en", "the thing that they thought"), ("fr", "être après déjà où français"))]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
