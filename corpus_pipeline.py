@@ -61,7 +61,7 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("language_id", language_stage), ("ngram_jaccard_join", jaccard_stage), ("secret_scans", secret_stage), ("mixing", mixing_stage), ("pieces", pieces_stage)]
 
-#: The language filter, the draw of the mix and the piece ids are beyond SQL; tests hold run() against brute force.
+#: The language filter, the draw of the mix and the piece ids are beyond SQL; tests look at columns, counts, links and keys of each stage.
 ORACLE_SQL = None
 
 
