@@ -25,14 +25,29 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t.casefold())
 
 
-def simple_fold(text: Column) -> Column:
-    """Case folding of texts whose only special letter is the sharp s."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: Catalyst may copy an expression wherever it is named, but not a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _beyond_ascii(text: Column, by) -> Column:
+    """``by`` of texts with other than ASCII characters; the others never leave the JVM, but for a null in their place."""
+    return F.coalesce(by(F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), text)), text)
+
+
+def composed(text: Column) -> Column:
+    """NFKC of a short text."""
+    return _beyond_ascii(text, nfkc)
+
+
+def folded(text: Column) -> Column:
+    """Full case folding: what is ASCII only by ``lower``."""
+    return F.coalesce(casefold(F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), text)), F.lower(text))
 
 
 def normal_target(target: Column) -> Column:
-    """A link target: lower case, underscores as hyphens, runs of hyphens as one, none at the ends of a path segment."""
-    segments = F.split(F.regexp_replace(F.lower(target), "_", "-"), "/")
+    """A link target: NFKC, lower case, underscores as hyphens, runs of hyphens as one, none at the ends of a path segment."""
+    segments = F.split(F.regexp_replace(F.lower(composed(target)), "_", "-"), "/")
     return F.array_join(F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, "-+", "-"), "^-|-$", "")), "/")
 
 
@@ -43,34 +58,68 @@ def wikilinks(text: Column) -> Column:
 
 def document_stem(stem: Column) -> Column:
     """Runs of other characters than word characters and hyphens as one hyphen; ``document`` if nothing is left."""
-    clean = F.regexp_replace(F.regexp_replace(stem, r"(?U)[^\w\-]+", "-"), "^-+|-+$", "")
+    clean = F.regexp_replace(F.regexp_replace(composed(stem), r"(?U)[^\w\-]+", "-"), "^-+|-+$", "")
     return F.when(clean == "", "document").otherwise(clean)
 
 
 def concept_name(name: Column) -> Column:
     """Each other character than word characters and hyphens as a hyphen."""
-    clean = F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w\-]", "-"), "^-+|-+$", "")
+    clean = F.regexp_replace(F.regexp_replace(composed(name), r"(?U)[^\w\-]", "-"), "^-+|-+$", "")
     return F.when(clean == "", "unnamed").otherwise(clean)
 
 
 def file_name(name: Column, suffix: str) -> Column:
-    """A safe ASCII file name without its own suffix, 80 characters at most."""
-    plain = F.regexp_replace(F.coalesce(F.try_url_decode(name), name), f"(?i)\\Q{suffix}\\E$", "")
+    """A safe ASCII file name: percent escapes decoded, its own suffix off and on again, 80 characters at most, ``document`` if none is left."""
+    escaped = F.replace(name, F.lit("+"), F.lit("%2B"))  # a plus is no blank in a file name
+    plain = F.regexp_replace(F.coalesce(F.try_url_decode(escaped), name), f"(?i)\\Q{suffix}\\E$", "")
     clean = F.regexp_replace(F.regexp_replace(plain, "[^A-Za-z0-9._-]+", "-"), "-+", "-")
-    return F.concat(F.regexp_replace(F.substring(F.regexp_replace(clean, "^[-._]+|[-._]+$", ""), 1, 80), "[-._]+$", ""), F.lit(suffix))
+    stem = F.regexp_replace(F.substring(F.regexp_replace(clean, "^[-._]+|[-._]+$", ""), 1, 80), "[-._]+$", "")
+    return F.concat(F.when(stem == "", "document").otherwise(stem), F.lit(suffix))
+
+
+def disposition_name(header: Column) -> Column:
+    """The file name of a Content-Disposition header: its extended, its quoted, else its bare form; null without one."""
+    extended = F.regexp_extract(header, r"filename\*=(?:[\w-]+'[\w-]*')?([^;]+)", 1)
+    quoted = F.regexp_extract(header, r'filename="([^"]+)"', 1)
+    bare = F.regexp_extract(header, r"filename=([^\s;]+)", 1)
+    decoded = F.trim(extended)
+    decoded = F.coalesce(F.try_url_decode(F.replace(decoded, F.lit("+"), F.lit("%2B"))), decoded)
+    return F.when(extended != "", decoded).when(quoted != "", quoted).when(bare != "", bare)
+
+
+def download_name(url: Column, header: Column) -> Column:
+    """A safe PDF name: of the header, else of the last path segment, else of the host."""
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)", 1)
+    host, path = F.split_part(rest, F.lit("/"), F.lit(1)), F.regexp_extract(rest, "/(.*)$", 1)
+    last = F.element_at(F.split(path, "/"), -1)
+    own = F.trim(F.when(last != "", last).otherwise(host))
+    return file_name(F.coalesce(F.nullif(disposition_name(header), F.lit("")), F.nullif(own, F.lit("")), F.lit("document")), ".pdf")
 
 
 def url_origin(url: Column) -> Column:
-    """Canonical address: scheme and host in lower case, ``/`` for no path, no fragment."""
+    """Canonical address: scheme and host in lower case, ``/`` for no path, no fragment. Null for other schemes, no host or credentials."""
     whole = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-    path = F.regexp_extract(url, whole, 3)
-    return F.concat(F.lower(F.regexp_extract(url, whole, 1)), F.lit("://"), F.lower(F.regexp_extract(url, whole, 2)), F.when(path == "", "/").otherwise(path), F.regexp_extract(url, whole, 4))
+    path, host = F.regexp_extract(url, whole, 3), F.lower(F.regexp_extract(url, whole, 2))
+    scheme = F.lower(F.regexp_extract(url, whole, 1))
+    query = F.regexp_extract(url, whole, 4)
+    address = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query))
+    return F.when(scheme.isin("http", "https") & F.rlike(host, F.lit("^[^:]")) & ~F.contains(host, F.lit("@")), address)
+
+
+def origin(value: Column) -> Column:
+    """The canonical origin of a source: an address, an upload, an attachment; null for anything else."""
+    kept = F.rlike(value, F.lit("(?s)^upload:.")) | F.rlike(value, F.lit(r"^attachment:[0-9a-f]{32}/[0-9a-f]{64}$"))
+    return F.coalesce(url_origin(value), F.when(kept, value))
 
 
 def document_label(name: Column) -> Column:
-    """A name without ``copy of`` before it or copy marks after it."""
-    front = F.regexp_replace(name, r"(?i)^\s*copy of\s+", "")
-    return F.trim(F.regexp_replace(front, r"(?i)\s*(?:[-_ ]+copy|\(copy\)|副本)\s*(?:\(\d+\)|\d+)?\s*$", ""))
+    """A file name's stem without ``copy of`` before it or copy marks after it; the stem itself if nothing else is left."""
+    last = F.element_at(F.split(F.regexp_replace(name, "/+$", ""), "/"), -1)
+    stem = F.regexp_replace(last, r"(?<=.)\.[^.]+$", "")
+    front = F.regexp_replace(stem, r"(?iU)^copy of\s+", "")
+    marks = r"(?iU)(?:[\s_-]+(?:copy|副本)(?:[\s_-]+\d+)?|\s*[（(\[]\s*(?:copy|副本)(?:\s+\d+)?\s*[）)\]])$"
+    clean = F.trim(F.regexp_replace(front, marks, ""))
+    return F.when(clean == "", stem).otherwise(clean)
 
 
 def title_from(message: Column, limit: int = TITLE_CHARS) -> Column:
@@ -97,12 +146,15 @@ def unique_place(text: Column, quote: Column, code: Column) -> Column:
     return F.when((F.length(q) > 0) & (first > 0) & (again == 0), first - 1)
 
 
-def page_spec(spec: Column) -> Column:
-    """``3-5,7`` as sorted distinct positive numbers; malformed parts are skipped, reversed ranges are empty."""
+def page_spec(spec: Column, most: int = 1_000_000) -> Column:
+    """``3-5,7`` as sorted distinct positive numbers; malformed parts are skipped, reversed ranges are empty.
+
+    Numbers past ``most``, the bound that keeps a range from filling memory, count as malformed.
+    """
     parts = F.transform(F.split(spec, ","), lambda p: F.trim(p))
-    one = lambda p: F.when(F.rlike(p, F.lit(r"^\d+$")), F.array(p.cast("int")))
-    low, high = (lambda p: F.split_part(p, F.lit("-"), F.lit(1)).cast("int")), (lambda p: F.split_part(p, F.lit("-"), F.lit(2)).cast("int"))
-    two = lambda p: F.when(F.rlike(p, F.lit(r"^\d+-\d+$")), F.when(low(p) <= high(p), F.sequence(low(p), high(p))))
+    number = lambda p, i: F.split_part(p, F.lit("-"), F.lit(i)).try_cast("int")
+    one = lambda p: F.when(F.rlike(p, F.lit(r"^\d+$")) & (p.try_cast("int") <= most), F.array(p.try_cast("int")))
+    two = lambda p: F.when(F.rlike(p, F.lit(r"^\d+-\d+$")) & (number(p, 1) <= number(p, 2)) & (number(p, 2) <= most), F.sequence(number(p, 1), number(p, 2), F.lit(1)))
     lists = F.transform(parts, lambda p: F.coalesce(one(p), two(p), F.array().cast("array<int>")))
     return F.array_sort(F.array_distinct(F.filter(F.flatten(lists), lambda n: n > 0)))
 
@@ -125,13 +177,6 @@ def relative_time(at: Column, now: Column) -> Column:
     return F.when(gap < 60, "just now").when(gap < 3600, part(60, "m")).when(gap < 86400, part(3600, "h")).when(gap < 7 * 86400, part(86400, "d")).otherwise(F.date_format(at, "yyyy-MM-dd"))
 
 
-def front_matter(text: Column) -> tuple[Column, Column]:
-    """Block and body: the block runs from a leading ``---`` to the first ``\\n---``; without one the body is all."""
-    close = F.position(F.lit("\n---"), text, F.lit(4))
-    has = F.startswith(text, F.lit("---")) & (close > 0)
-    return F.when(has, F.substring(text, F.lit(1), close + 3)).otherwise(""), F.when(has, F.substring(text, close + 4, F.length(text))).otherwise(text)
-
-
 def remove_first(items: Column, value: Column) -> Column:
     """The array without the first occurrence of ``value`` only."""
     at = F.array_position(items, value)

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _line_starts(text: pd.Series) -> pd.Series:
+    """Where each line of a text begins, in code points."""
+
+    def starts(t):
+        if t is None:
+            return None
+        sizes = np.fromiter((len(x) + 1 for x in t.split("\n")), np.int64)
+        return np.cumsum(sizes) - sizes
+
+    return text.map(starts)
 
 
 def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ord, text, start, end)``: each line as a block with its place in code points."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("ord", "text"))
-    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")
-    return lines.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
+    """``(doc_id, ord, text, start, end)``: each line as a block with its place in code points.
+
+    Places are summed within the row, so nothing is shuffled.  A null text has
+    no lines; an empty one has one empty line.
+    """
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("whole")).where("whole is not null")
+    zipped = F.arrays_zip(F.split("whole", "\n", -1).alias("text"), _line_starts("whole").alias("start"))
+    lines = whole.select("doc_id", F.posexplode(zipped).alias("ord", "x"))
+    return lines.select("doc_id", "ord", "x.text", "x.start", (F.col("x.start") + F.length("x.text")).alias("end"))
 
 
 def markdown_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,16 +50,32 @@ def markdown_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def repetition(lines: DataFrame, widths=range(1, 9), repeats: int = 32, chars: int = 1024) -> DataFrame:
-    """``(doc_id, width)`` with aligned runs of equal chunks of ``width`` lines, at least ``repeats`` of them and ``chars`` characters."""
-    found = None
-    for w in widths:
-        chunked = lines.groupBy("doc_id", F.floor(F.col("ord") / w).alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("rows"), F.sum(F.length("text") + 1).alias("n"))
-        by = Window.partitionBy("doc_id").orderBy("c")
-        fresh = F.when((F.size("rows") == w) & F.coalesce(F.col("rows") == F.lag("rows").over(by), F.lit(False)), 0).otherwise(1)
-        runs = chunked.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by)).where(F.size("rows") == w)
-        hits = runs.groupBy("doc_id", "run").agg(F.count("*").alias("k"), F.sum("n").alias("size")).where((F.col("k") >= repeats) & (F.col("size") >= chars)).select("doc_id", F.lit(w).alias("width")).distinct()
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    """``(doc_id, width)`` with aligned runs of equal chunks of ``width`` lines, at least ``repeats`` of them and ``chars`` characters.
+
+    Lines are gathered once; every width is read off the same array of hashes
+    and lengths.
+    """
+
+    @F.pandas_udf("array<int>")
+    def found(rows: pd.Series, sizes: pd.Series) -> pd.Series:
+        def hits(h, n):
+            out = []
+            for w in widths:
+                whole = len(h) // w
+                if whole < repeats:
+                    continue
+                chunks = h[: whole * w].reshape(whole, w)
+                size = n[: whole * w].reshape(whole, w).sum(1)
+                fresh = np.r_[True, (chunks[1:] != chunks[:-1]).any(1)]
+                run = np.cumsum(fresh) - 1
+                if ((np.bincount(run) >= repeats) & (np.bincount(run, size) >= chars)).any():
+                    out.append(w)
+            return out
+
+        return pd.Series([hits(h, n) for h, n in zip(rows, sizes, strict=True)])
+
+    gathered = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.xxhash64("text").alias("h"), (F.length("text") + 1).cast("long").alias("n")))).alias("rows"))
+    return gathered.select("doc_id", F.explode(found(F.col("rows.h"), F.col("rows.n"))).alias("width"))
 
 
 def budget_read(blocks: DataFrame, budget: int, cost: Column | None = None) -> DataFrame:
@@ -60,20 +96,44 @@ def navigation_nodes(blocks: DataFrame, boundary: Column) -> DataFrame:
 
 
 def node_of_block(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The deepest (last) node that holds each block; the equal document keeps this a hash join."""
+    """The deepest (last) node that holds each block of ``(doc_id, ord)``, found by a sweep over starts and blocks, not by pairs.
+
+    Nodes ``(doc_id, node, start, end)`` nest or follow one another, as those of
+    a tree do, so the last one to begin at or before a block holds it, or one
+    of its ancestors does.  Blocks outside all nodes are left out.
+    """
+    none = F.lit(None)
+    marks = blocks.select("doc_id", "ord", F.lit(1).alias("side"), none.cast("int").alias("node"), none.cast("int").alias("end"))
+    starts = nodes.select("doc_id", F.col("start").alias("ord"), F.lit(0).alias("side"), F.col("node").cast("int").alias("node"), F.col("end").cast("int").alias("end"))
+    by = Window.partitionBy("doc_id").orderBy("ord", "side", "node")
+    swept = starts.unionByName(marks).withColumn("last", F.last(F.when(F.col("side") == 0, F.struct("node", "end")), ignorenulls=True).over(by))
+    met = swept.where("side = 1")
+    direct = met.where("ord < last.end").select("doc_id", "ord", F.col("last.node").alias("node"))
+    # Blocks past the end of the last node lie in one of the nodes around it: only these are held against ranges.
+    late = met.where("last is not null and ord >= last.end").select("doc_id", "ord")
     n = nodes.select(F.col("doc_id").alias("d"), "node", F.col("start").alias("s"), F.col("end").alias("e"))
-    held = blocks.join(n, (blocks.doc_id == n.d) & (blocks.ord >= n.s) & (blocks.ord < n.e))
-    return held.groupBy("doc_id", "ord").agg(F.max("node").alias("node"))
+    around = late.join(n, (late.doc_id == n.d) & (late.ord >= n.s) & (late.ord < n.e)).groupBy("doc_id", "ord").agg(F.max("node").cast("int").alias("node"))
+    return direct.unionByName(around)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _fill(costs: pd.Series, limit: pd.Series) -> pd.Series:
+    """The batch of each cost in order: a new one where the sum would pass the limit."""
+
+    def batches(row, most):
+        out, total, batch = np.zeros(len(row), np.int32), 0, 0
+        for i, c in enumerate(row.tolist()):
+            if total and total + c > most:
+                total, batch = 0, batch + 1
+            total += c
+            out[i] = batch
+        return out
+
+    return pd.Series([batches(r, m) for r, m in zip(costs, limit, strict=True)])
 
 
 def greedy_batches(units: DataFrame, limit: int, cost: Column) -> DataFrame:
     """``(doc_id, ord, batch)``: units in order, a new batch where the next would pass the limit. Greedy, so folded in order."""
     ordered = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", cost.cast("long").alias("cost")))).alias("units"))
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("batch"), F.array().cast("array<struct<ord:int,batch:int>>").alias("out"))
-
-    def step(acc: Column, u: Column) -> Column:
-        fits = (acc["sum"] + u["cost"] <= limit) | (acc["sum"] == 0)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        return F.struct(F.when(fits, acc["sum"] + u["cost"]).otherwise(u["cost"]).alias("sum"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(u["ord"].alias("ord"), batch.alias("batch")))).alias("out"))
-
-    return ordered.select("doc_id", F.explode(F.aggregate("units", zero, step, lambda a: a["out"])).alias("x")).select("doc_id", "x.ord", "x.batch")
+    filled = ordered.select("doc_id", F.arrays_zip(F.col("units.ord").alias("ord"), _fill(F.col("units.cost"), F.lit(limit).cast("long")).alias("batch")).alias("units"))
+    return filled.select("doc_id", F.explode("units").alias("x")).select("doc_id", "x.ord", "x.batch")

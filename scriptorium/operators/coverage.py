@@ -2,31 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 _RANGES = "array<struct<start:bigint,end:bigint,status:string>>"
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _accepted(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Places of the units that don't begin before the end of the accepted one before them."""
+
+    def walk(s, e):
+        at, out = 0, []
+        for i, (a, b) in enumerate(zip(s.tolist(), e.tolist(), strict=True)):
+            if a >= at:
+                at = b
+                out.append(i)
+        return out
+
+    return pd.Series([walk(s, e) for s, e in zip(starts, ends, strict=True)])
+
+
 def coverage_ranges(blocks: DataFrame, units: DataFrame) -> DataFrame:
     """``(doc_id, start, end, status)`` over ``blocks(doc_id, chars)`` and ``units(doc_id, start, end, status)``.
 
     Units are walked by start; one that starts before the cursor is dropped
     whole.  Gaps, the tail and an empty block are ``pending``.
     """
-    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "status"))).alias("units"))
-    joined = blocks.select("doc_id", F.col("chars").cast("long").alias("chars")).join(listed, "doc_id", "left")
-    row = lambda a, b, s: F.array(F.struct(a.alias("start"), b.alias("end"), s.alias("status")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_RANGES).alias("out"))
-
-    def step(acc: Column, u: Column) -> Column:
-        gap = F.when(u["start"] > acc["at"], row(acc["at"], u["start"], F.lit("pending"))).otherwise(F.array().cast(_RANGES))
-        skip = u["start"] < acc["at"]
-        return F.struct(F.when(skip, acc["at"]).otherwise(u["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], gap, row(u["start"], u["end"], u["status"]))).alias("out"))
-
-    walked = joined.withColumn("w", F.aggregate(F.coalesce("units", F.array().cast(_RANGES)), zero, step))
-    tail = F.when((F.col("w.at") < F.col("chars")) | (F.col("chars") == 0), row(F.col("w.at"), F.col("chars"), F.lit("pending"))).otherwise(F.array().cast(_RANGES))
-    return walked.select("doc_id", F.explode(F.concat("w.out", tail)).alias("r")).select("doc_id", "r.*")
+    unit = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "status")
+    listed = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    none = F.array().cast(_RANGES)
+    joined = blocks.select("doc_id", F.col("chars").cast("long").alias("chars")).join(listed, "doc_id", "left").withColumn("units", F.coalesce("units", none))
+    picked = joined.withColumn("at", _accepted(F.col("units.start"), F.col("units.end")))
+    kept = picked.withColumn("kept", F.transform("at", lambda i: F.get("units", i))).drop("units", "at")
+    pending = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), F.lit("pending").alias("status"))
+    before = lambda i: F.coalesce(F.get("kept", i - 1)["end"], F.lit(0).cast("long"))
+    rows = F.transform("kept", lambda u, i: F.when(u["start"] > before(i), F.array(pending(before(i), u["start"]), u)).otherwise(F.array(u)))
+    last = F.coalesce(F.get("kept", F.size("kept") - 1)["end"], F.lit(0).cast("long"))
+    tail = F.when((last < F.col("chars")) | (F.col("chars") == 0), F.array(pending(last, F.col("chars")))).otherwise(none)
+    return kept.select("doc_id", F.explode(F.concat(F.flatten(rows), tail)).alias("r")).select("doc_id", "r.*")
 
 
 def window_coverage(ranges: DataFrame, windows: DataFrame) -> DataFrame:

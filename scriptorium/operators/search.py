@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import simple_fold
+from scriptorium.functions.text import folded
 
 
-def literal_hits(blocks: DataFrame, literal: str, fold=simple_fold) -> DataFrame:
+def literal_hits(blocks: DataFrame, literal: str, fold=folded) -> DataFrame:
     """Every block whose folded text holds the folded literal, with the place of its first occurrence (folded code points from 0)."""
     wanted = literal.casefold()
     folded = fold(F.col("text"))
@@ -30,7 +30,12 @@ def sessions(turns: DataFrame, title: Column) -> DataFrame:
 
 
 def resolve_prefix(ids: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """For each ``prefixes(prefix)``: how many ``ids(id)`` it begins, and the id where it is exact or unique."""
-    met = prefixes.join(ids, F.startswith("id", F.col("prefix")), "left")
+    """For each ``prefixes(prefix)``: how many ``ids(id)`` it begins, and the id where it is exact or unique.
+
+    Ids are cut to the lengths that prefixes have (which are few) and joined by equality.
+    """
+    sizes = prefixes.select(F.length("prefix").alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("sizes"))
+    cut = ids.join(F.broadcast(sizes)).select("id", F.explode(F.filter("sizes", lambda n: n <= F.length("id"))).alias("n"))
+    met = prefixes.distinct().join(cut.select("id", F.expr("substring(id, 1, n)").alias("prefix")), "prefix", "left")
     found = met.groupBy("prefix").agg(F.count("id").alias("n"), F.min("id").alias("least"), F.max((F.col("id") == F.col("prefix")).cast("int")).alias("exact"))
     return found.select("prefix", "n", F.when(F.col("exact") == 1, F.col("prefix")).when(F.col("n") == 1, F.col("least")).alias("resolved"))

@@ -40,3 +40,31 @@ def preceding_while(rows: DataFrame, key: str, order: str, fits: Column, cost: C
     back = Window.partitionBy(key).orderBy(F.desc(order))
     marked = rows.withColumn("ok", F.bool_and(fits).over(back)).withColumn("spent", F.sum(cost.cast("long")).over(back))
     return marked.where(F.col("ok") & (F.col("spent") <= limit)).drop("ok", "spent")
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``place``, 1 and up by ``order`` over the whole table.
+
+    Rows are dealt to ranges of ``order``, numbered within each, and moved up by
+    the sizes of the ranges before it, so that no task holds the whole table.
+    ``order`` must be unique.
+    """
+    spark = rows.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kinds = rows.schema[order].dataType
+    cuts = [b for b in rows.select(order).where(F.col(order).isNotNull()).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)] or [0.5], 10000).alias("c")).first()["c"] or []] if _numeric(kinds) else []
+    part = F.lit(0)
+    for c in sorted(set(cuts)):
+        part = part + (F.col(order) > F.lit(c)).cast("int")
+    dealt = rows.withColumn("_part", part)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = sizes.select("_part", before.alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.withColumn("_own", own).join(F.broadcast(moved), "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
+def _numeric(kind) -> bool:
+    from pyspark.sql.types import NumericType
+
+    return isinstance(kind, NumericType)

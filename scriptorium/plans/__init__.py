@@ -1 +1,5 @@
-"""Plans of the engine."""
+"""Queries over the driver's tables, module by module."""
+
+from scriptorium.plans import catalogue, source_queries, wiki_queries
+
+MODULES = (catalogue, source_queries, wiki_queries)

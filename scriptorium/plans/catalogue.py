@@ -8,39 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import blocks, coverage, graph, links, search, sequences, store, usage
+from scriptorium.plans.registry import SQL as _SQL
+from scriptorium.plans.registry import query as _query
 from scriptorium.sources import pages as page_source
 from scriptorium.sources import table
 from scriptorium.streaming import watch
 
 LITERAL = "ßE"
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _documents(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
@@ -62,7 +42,7 @@ wiki AS (
   FROM documents
 ), link AS (SELECT path, unnest(links) AS target FROM wiki)
 """
-_LINES = """
+LINES = """
 split AS (SELECT doc_id, string_split(text, chr(10)) AS rows FROM documents),
 plain AS (SELECT doc_id, unnest(rows) AS text, generate_subscripts(rows, 1) - 1 AS ord FROM split),
 line AS (SELECT doc_id, CAST(ord AS INTEGER) AS ord, text,
@@ -72,20 +52,20 @@ line AS (SELECT doc_id, CAST(ord AS INTEGER) AS ord, text,
 _FOLD = "replace(lower(text), 'ß', 'ss')"
 
 
-@_query(f"WITH {_LINES} SELECT doc_id, ord, start, start + length(text) AS \"end\", strpos({_FOLD}, 'sse') - 1 AS at FROM line WHERE contains({_FOLD}, 'sse')")
+@_query(f"WITH {LINES} SELECT doc_id, ord, start, start + length(text) AS \"end\", strpos({_FOLD}, 'sse') - 1 AS at FROM line WHERE contains({_FOLD}, 'sse')")
 def literal_search(spark, d):
     """Every line that holds the literal, whatever its case."""
     return search.literal_hits(blocks.line_blocks(_documents(spark, d)), LITERAL).select("doc_id", "ord", "start", "end", "at")
 
 
-@_query(f"WITH {_LINES}, hit AS (SELECT doc_id, ord, start FROM line WHERE contains({_FOLD}, 'sse')) SELECT *, (SELECT count(*) FROM hit) AS total, CASE WHEN 70 < (SELECT count(*) FROM hit) THEN CAST(70 AS BIGINT) END AS next_offset FROM hit ORDER BY doc_id, ord LIMIT 50 OFFSET 20")
+@_query(f"WITH {LINES}, hit AS (SELECT doc_id, ord, start FROM line WHERE contains({_FOLD}, 'sse')) SELECT *, (SELECT count(*) FROM hit) AS total, CASE WHEN 70 < (SELECT count(*) FROM hit) THEN CAST(70 AS BIGINT) END AS next_offset FROM hit ORDER BY doc_id, ord LIMIT 50 OFFSET 20")
 def search_page(spark, d):
     """One page of hits (the page is the feature)."""
     hits = search.literal_hits(blocks.line_blocks(_documents(spark, d)), LITERAL).select("doc_id", "ord", "start")
     return search.page(hits, ["doc_id", "ord"], 20, 50)
 
 
-@_query(f"WITH {_LINES} SELECT doc_id, ord, start, start + length(text) AS \"end\", sha256(text) AS digest FROM line")
+@_query(f"WITH {LINES} SELECT doc_id, ord, start, start + length(text) AS \"end\", sha256(text) AS digest FROM line")
 def line_blocks(spark, d):
     return blocks.line_blocks(_documents(spark, d)).select("doc_id", "ord", "start", "end", F.sha2("text", 256).alias("digest"))
 
@@ -265,7 +245,7 @@ def _half_lines(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 _COVER = f"""
-{_LINES}, u AS (SELECT doc_id, ord, start, start + length(text) AS "end", CASE WHEN ord % 3 = 0 THEN 'verified' ELSE 'no_facts' END AS status FROM line WHERE ord % 3 <> 1),
+{LINES}, u AS (SELECT doc_id, ord, start, start + length(text) AS "end", CASE WHEN ord % 3 = 0 THEN 'verified' ELSE 'no_facts' END AS status FROM line WHERE ord % 3 <> 1),
 g AS (SELECT doc_id, coalesce(lag("end") OVER w, 0) AS start, start AS "end", 'pending' AS status FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
 t AS (SELECT d.doc_id, max(u."end") AS start, d.n_chars AS "end", 'pending' AS status FROM documents d JOIN u ON d.doc_id = u.doc_id GROUP BY d.doc_id, d.n_chars),
 cover AS (SELECT doc_id, start, "end", status FROM u UNION ALL SELECT * FROM g WHERE start < "end" UNION ALL SELECT * FROM t WHERE start < "end")
@@ -290,7 +270,7 @@ def coverage_valid(spark, d):
 
 
 _NODES = f"""
-{_LINES}, b AS (SELECT doc_id, ord, max(ord + 1) OVER (PARTITION BY doc_id) AS total, ord = 0 OR length(text) < 40 AS cut FROM line),
+{LINES}, b AS (SELECT doc_id, ord, max(ord + 1) OVER (PARTITION BY doc_id) AS total, ord = 0 OR length(text) < 40 AS cut FROM line),
 node AS (SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS node, ord AS start, CAST(coalesce(lead(ord) OVER w, total) AS INTEGER) AS "end" FROM b WHERE cut WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
 """
 
@@ -307,7 +287,7 @@ def node_of_block(spark, d):
 
 
 @_query(f"""
-WITH {_LINES}, w AS (SELECT unnest(range(1, 9)) AS width),
+WITH {LINES}, w AS (SELECT unnest(range(1, 9)) AS width),
 c AS (SELECT l.doc_id, w.width, l.ord // w.width AS c, list(l.text ORDER BY l.ord) AS rows, sum(length(l.text) + 1) AS n FROM line l, w GROUP BY ALL),
 f AS (SELECT *, CASE WHEN len(rows) = width AND rows = lag(rows) OVER (PARTITION BY doc_id, width ORDER BY c) THEN 0 ELSE 1 END AS fresh FROM c),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, width ORDER BY c) AS run FROM f)
@@ -317,13 +297,13 @@ def repetition_flag(spark, d):
     return blocks.repetition(blocks.line_blocks(_documents(spark, d)), repeats=4, chars=40)
 
 
-@_query(f"WITH {_LINES}, s AS (SELECT doc_id, ord, CAST(length(text) AS BIGINT) AS cost, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent FROM line) SELECT doc_id, ord, least(cost, 800 - spent) AS taken, CASE WHEN 800 - spent < cost THEN 800 - spent END AS resume FROM s WHERE spent < 800")
+@_query(f"WITH {LINES}, s AS (SELECT doc_id, ord, CAST(length(text) AS BIGINT) AS cost, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent FROM line) SELECT doc_id, ord, least(cost, 800 - spent) AS taken, CASE WHEN 800 - spent < cost THEN 800 - spent END AS resume FROM s WHERE spent < 800")
 def char_budget_read(spark, d):
     return blocks.budget_read(blocks.line_blocks(_documents(spark, d)), 800).select("doc_id", "ord", "taken", "resume")
 
 
 @_query(f"""
-WITH RECURSIVE {_LINES}, n AS (SELECT doc_id, ord, CAST(length(text) AS BIGINT) AS cost FROM line),
+WITH RECURSIVE {LINES}, n AS (SELECT doc_id, ord, CAST(length(text) AS BIGINT) AS cost FROM line),
 b AS (SELECT doc_id, ord, cost AS used, 0 AS batch FROM n WHERE ord = 0
   UNION ALL SELECT n.doc_id, n.ord, CASE WHEN b.used + n.cost <= 600 OR b.used = 0 THEN b.used + n.cost ELSE n.cost END, CASE WHEN b.used + n.cost <= 600 OR b.used = 0 THEN b.batch ELSE b.batch + 1 END FROM b JOIN n ON n.doc_id = b.doc_id AND n.ord = b.ord + 1)
 SELECT doc_id, ord, batch FROM b
@@ -409,7 +389,7 @@ def page_components(spark, d):
     return graph.components(cited.join(first, "href").select(F.col("page_id").alias("a"), "b").unionByName(pages.select(F.col("page_id").alias("a"), F.col("page_id").alias("b"))))
 
 
-@_query(f"WITH {_LINES} SELECT text, min(doc_id) AS first, count(*) AS uses, 'c' || row_number() OVER (ORDER BY min(doc_id * 100000 + ord)) AS label FROM line GROUP BY text HAVING count(*) > 1 AND length(text) > 60")
+@_query(f"WITH {LINES} SELECT text, min(doc_id) AS first, count(*) AS uses, 'c' || row_number() OVER (ORDER BY min(doc_id * 100000 + ord)) AS label FROM line GROUP BY text HAVING count(*) > 1 AND length(text) > 60")
 def context_intern(spark, d):
     rows = blocks.line_blocks(_documents(spark, d)).select("text", (F.col("doc_id") * 100000 + F.col("ord")).alias("place"))
     return links.interned(rows, "text", "place", 60).select("text", F.floor(F.col("first") / 100000).alias("first"), "uses", "label")

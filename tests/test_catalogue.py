@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from scriptorium.plans import catalogue
+from scriptorium.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "events documents pages benchmark labels conversations".split()
@@ -35,12 +35,12 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, sql, name):
-    got = catalogue.queries()[name](spark, DATA)
+    got = registry.queries()[name](spark, DATA)
     columns = sorted(got.columns)
     mine = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)
-    res = sql.execute(catalogue.oracle_sql()[name])
+    res = sql.execute(registry.oracle_sql()[name])
     names = [d[0] for d in res.description]
     assert sorted(names) == columns
     theirs = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in res.fetchall()), key=repr)

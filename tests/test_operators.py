@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import frontmatter as fm
 from scriptorium.functions import text as T
 from scriptorium.operators import blocks, coverage, graph, links, search, store, usage
 from scriptorium.sources import pages
@@ -25,8 +26,8 @@ def test_text(spark):
     assert one(spark, "x" * 70, T.title_from) == "x" * 59 + "…"
     assert one(spark, "ﬁ", T.nfkc) == "fi"
     assert one(spark, "Straße", T.casefold) == "strasse"
-    head, body = T.front_matter(F.col("x"))
-    assert tuple(spark.createDataFrame([("---\na: 1\n----\nb",)], "x string").select(head, body).first()) == ("---\na: 1\n---", "-\nb")
+    head, body = fm.parts(F.col("x"))
+    assert tuple(spark.createDataFrame([("---\na: 1\n----\nb",)], "x string").select(head, body).first()) == ("---\na: 1\n----\n", "b")
 
 
 def test_quotes(spark):

@@ -2,7 +2,7 @@
 
 import re
 
-from scriptorium.plans import catalogue
+from scriptorium.plans import registry
 
 
 def test_page_components(spark, tmp_path):
@@ -19,7 +19,7 @@ def test_page_components(spark, tmp_path):
             if label[j] is None:
                 label[j] = i
                 todo += [k for k in cited if cited[j] & cited[k]]
-    got = catalogue.queries()["page_components"](spark, str(tmp_path)).collect()
+    got = registry.queries()["page_components"](spark, str(tmp_path)).collect()
     assert sorted((r["id"], r["label"]) for r in got) == sorted(label.items())
     assert len(set(label.values())) > 10
 
@@ -39,8 +39,8 @@ def test_references_and_links_reach_every_document(spark, tmp_path):
     for i in set(range(n)) - kept:
         if i % 50 != 9:
             want[f"s{i % 3}"] = want.get(f"s{i % 3}", 0) + 1
-    got = catalogue.queries()["whole_reachable_gc"](spark, str(tmp_path)).collect()
+    got = registry.queries()["whole_reachable_gc"](spark, str(tmp_path)).collect()
     assert {r["source"]: (r["unused"], r["chars"]) for r in got} == {s: (c, 2 * c) for s, c in want.items()}
     edges = {(f"en/d{i}", f"en/d{t}") for i in range(n) if i % 5 and i % 7 for t in ((7 * i + 3) % n, (3 * i + 1) % n) if t != i}
-    assert {tuple(r) for r in catalogue.queries()["whole_graph_edges"](spark, str(tmp_path)).collect()} == edges
+    assert {tuple(r) for r in registry.queries()["whole_graph_edges"](spark, str(tmp_path)).collect()} == edges
     assert max(int(t.split("/d")[1]) for _, t in edges) >= 1300
