@@ -3,44 +3,50 @@
 All n-grams stand in one global order: rare ones by hash, frequent ones after
 them by count.  The order is cut into fragments; a document's set falls into
 one segment per fragment, each fragment counts the overlap of its segments for
-a pair alone, and the counts are summed per pair.  Two sets that reach the
-threshold share an n-gram within a short prefix of the order, so only pairs
-that meet in a prefix are counted.
+a pair alone, and the counts are summed per pair.
+
+Which pairs are counted follows from the order too.  Two sets whose overlap
+reaches ``o``, the least that their sizes ask for, share an n-gram that lies in
+both among the first ``size - o + 1``.  So a set is posted under its first
+n-grams together with the place of each, and only pairs that meet early enough
+in both sets are candidates.
 
 Documents with equal sets form one class from the start, and pairs are only
-looked for between classes that aren't linked yet: first every class against
-one centre of each prefix n-gram, then all pairs that still lie in different
-components.  The latter are compared by their differences from a pivot, which
-are small and mostly their own, where their sets have nearly all in common.
-So large groups of copies give no square of pairs and no link is lost.
+looked for between classes that aren't linked yet.  First every class meets one
+centre of each of its n-grams: the class that has the n-gram earliest, thus the
+least of its own before it, which in a group of edited copies is the one next
+to the original.  Then the classes that are still apart from the largest
+component of an n-gram meet the others.  So large groups of copies give no
+square of pairs and no link is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, release, small_batches
 from .components import connected_components
 from .shingles import U64, mix, shingle_sets
 
-#: The frequent n-grams that the order names one by one: at most this many (16 bytes each reach every executor).
+#: The frequent n-grams that the order names one by one: at most this many (24 bytes each reach every executor).
 #: A lower bound only makes buckets larger; results stay the same.
 ORDER_LIMIT = 1 << 20
 #: Bits of the filter on ids of documents whose sets are fetched, 64 a word; more ids only let more pass.
 FILTER_WORDS = 1 << 17
-#: Rounds of pairs with centres of each n-gram before all pairs that are left, and centres from the second round on.
+#: Rounds of pairs with centres of each n-gram at most, and the centres of each from the second round on.
 STAR_ROUNDS = 3
 CENTRES = 8
-#: Open classes of an n-gram whose pairs are counted one by one (3.5 rows a class at most); with more, pivots stand between.
-LIGHT = 8
+#: Postings of one n-gram that go to one task; an n-gram that occurs more often is dealt to several.
+SALT_ROWS = 1 << 12
 #: N-grams that a task holds before it counts them, and classes it remembers not to send again.
 FOLD_GRAMS = 1_000_000
 DONE_CLASSES = 200_000
 #: Fragments of the global order.
 FRAGMENTS = 4
+_POSTING = "gram long, salt int, sig long, n int, pos int"
 
 
 def _signature(s: np.ndarray) -> int:
@@ -99,27 +105,39 @@ class Order:
         rank = np.empty(len(grams), np.int64)
         rank[np.lexsort((grams, counts))] = np.arange(1, len(grams) + 1)
         self.rank = rank[by]
+        self.parts = (counts[by] // SALT_ROWS + 1).astype(np.int32)
+
+    def _at(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each n-gram in the table, and whether it is there."""
+        at = np.minimum(np.searchsorted(self.grams, s), len(self.grams) - 1)
+        return at, self.grams[at] == s
 
     def of(self, s: np.ndarray) -> np.ndarray:
         if not len(self.grams):
             return np.zeros(len(s), np.int64)
-        at = np.minimum(np.searchsorted(self.grams, s), len(self.grams) - 1)
-        return np.where(self.grams[at] == s, self.rank[at], 0)
+        at, named = self._at(s)
+        return np.where(named, self.rank[at], 0)
 
     def sort(self, s: np.ndarray) -> np.ndarray:
         """``s`` (ascending) in the global order."""
         return s[np.argsort(self.of(s), kind="stable")]
 
-
-def _needed(n: int, num: int, den: int) -> int:
-    return -(-num * n // den)
+    def salt(self, s: np.ndarray, sign: int) -> np.ndarray:
+        """The part of each n-gram's postings that a class goes to; -1 where all are one part."""
+        if not len(self.grams):
+            return np.full(len(s), -1, np.int32)
+        at, named = self._at(s)
+        parts = np.where(named, self.parts[at], 1)
+        return np.where(parts > 1, (sign & 0x7FFFFFFF) % parts, -1).astype(np.int32)
 
 
 def _prefixes(k: int, num: int, den: int, order):
+    """Each class under the first n-grams of its set: as many as any partner can ask for."""
+
     def run(batches):
         done: set[int] = set()
         for batch in batches:
-            grams, signs, sizes = [], [], []
+            grams, salts, signs, sizes, places = [], [], [], [], []
             for _, sets in shingle_sets(batch.column("text"), k):
                 for s in sets:
                     if not len(s):
@@ -129,38 +147,44 @@ def _prefixes(k: int, num: int, den: int, order):
                         continue
                     if len(done) < DONE_CLASSES:
                         done.add(sign)
-                    top = order.value.sort(s)[: len(s) - _needed(len(s), num, den) + 1]
+                    top = order.value.sort(s)[: len(s) + num * len(s) // -den + 1]
                     grams.append(top)
+                    salts.append(order.value.salt(top, sign))
                     signs.append(np.full(len(top), sign, np.int64))
                     sizes.append(np.full(len(top), len(s), np.int32))
+                    places.append(np.arange(len(top), dtype=np.int32))
             if grams:
-                yield pa.record_batch([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(signs)), pa.array(np.concatenate(sizes))], names=["gram", "sig", "n"])
+                flat = [np.concatenate(x) for x in (grams, salts, signs, sizes, places)]
+                flat[0] = flat[0].view(np.int64)
+                yield pa.record_batch([pa.array(x) for x in flat], names=["gram", "salt", "sig", "n", "pos"])
 
     return run
 
 
-def _crowded(batches):
-    """Of rows sorted by (gram, sig): those whose gram has another class, each with the first class of its gram."""
-    last = None  # gram, centre, its n, last class, whether its first row is out
-    names = ["gram", "sig", "n", "centre", "centre_n"]
+def _shared(batches):
+    """Of rows sorted by (gram, salt, sig): one of each class, without n-grams that have a single class; dealt ones all stay."""
+    last = None  # the row that may still belong to a group that goes on, and whether its group has had another class
     for batch in batches:
-        g, s, n = (batch.column(c).to_numpy() for c in ("gram", "sig", "n"))
-        if not len(g):
+        rows = [batch.column(i).to_numpy() for i in range(5)]
+        if not len(rows[0]):
             continue
+        mixed = False
         if last is not None:
-            g = np.concatenate([[last[0]], g])
-            s = np.concatenate([[last[1]], s])
-            n = np.concatenate([[last[2]], n]).astype(np.int32)
-        new = np.r_[True, g[1:] != g[:-1]]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        other = s != s[first]
-        repeated = np.r_[False, ~new[1:] & (s[1:] == s[:-1])]
-        out = other & ~repeated
-        if out.any():
-            i = np.flatnonzero(out)
-            yield pa.record_batch([pa.array(x) for x in (g[i], s[i], n[i], s[first[i]], n[first[i]])], names=names)
-        f = first[-1]
-        last = (g[f], s[f], n[f])
+            rows, mixed = [np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last[0], rows, strict=True)], last[1]
+        gram, salt, sig = rows[:3]
+        new_group = np.r_[True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])]
+        new_class = new_group | np.r_[True, sig[1:] != sig[:-1]]
+        ends = np.r_[new_class[1:], False]  # the last row of each class but the last one, which is held back
+        group = np.cumsum(new_group) - 1
+        classes = np.bincount(group, new_class)
+        classes[0] += mixed
+        keep = ends & ((classes[group] > 1) | (salt >= 0))
+        # A class that ends a batch is out with the next one, where its group counts as mixed.
+        if keep.any():
+            yield pa.record_batch([pa.array(x[keep]) for x in (gram, sig, rows[3], rows[4])], names=["gram", "sig", "n", "pos"])
+        last = [x[-1] for x in rows], bool(classes[-1] > 1)
+    if last is not None and (last[1] or last[0][1] >= 0):
+        yield pa.record_batch([pa.array(np.array([last[0][i]], t)) for i, t in ((0, np.int64), (2, np.int64), (3, np.int32), (4, np.int32))], names=["gram", "sig", "n", "pos"])
 
 
 def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -226,101 +250,64 @@ def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int, fragments
     one = segments.select(F.col("sig").alias("a"), "frag", F.col("grams").alias("ga"))
     two = segments.select(F.col("sig").alias("b"), "frag", F.col("grams").alias("gb"))
     parts = pairs.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(fragments)])))
-    partial = parts.join(one, ["a", "frag"]).join(two, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).cast("long").alias("c"))
+    both = parts.join(one, ["a", "frag"]).join(two, ["b", "frag"])
+    partial = both.select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).cast("long").alias("c"))
     overlap = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("c").alias("c")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    return overlap.where(F.col("c") * (den + num) >= (F.col("na").cast("long") + F.col("nb")) * num).select("a", "b")
+    return overlap.where(F.col("c") >= _overlap(F.col("na"), F.col("nb"), num, den)).select("a", "b")
 
 
-def _fits(na, nb, num: int, den: int):
-    """The larger set times the threshold is at most the smaller."""
-    return (F.greatest(na, nb).cast("long") * num) <= (F.least(na, nb).cast("long") * den)
+def _overlap(na: Column, nb: Column, num: int, den: int) -> Column:
+    """The least overlap of linked sets of these sizes: (na + nb) num / (num + den), rounded up, in whole numbers."""
+    up = (na.cast("long") + nb) * num + (num + den - 1)
+    return ((up - up % (num + den)) / (num + den)).cast("long")
 
 
-def _promising(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of ``shared`` (a row for each prefix n-gram that a pair shares) that can reach the threshold.
+def _early(x: str, y: str, num: int, den: int) -> Column:
+    """Whether the n-gram lies in both sets among those of which linked sets share one; sizes too unlike never fit."""
+    need = _overlap(F.col(f"n{x}"), F.col(f"n{y}"), num, den)
+    return (F.col(f"pos{x}") + need <= F.col(f"n{x}")) & (F.col(f"pos{y}") + need <= F.col(f"n{y}"))
 
-    Up to the earlier of the two prefixes' ends only shared prefix n-grams
-    overlap, and beyond it at most what that set has left.
-    """
-    left = lambda n: (F.ceil(F.col(n).cast("long") * num / den) - 1)
-    need = F.ceil((F.col("na").cast("long") + F.col("nb")) * num / (num + den))
-    counted = shared.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("met"))
-    return counted.where(F.col("met") >= need - F.greatest(left("na"), left("nb"))).drop("met")
 
+def _side(members: DataFrame, x: str) -> DataFrame:
+    return members.select("gram", F.col("sig").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "pos", "label")])
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows ``(gram, sig, n, label)`` of n-grams whose classes lie in more than one component."""
-    tagged = members.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    mixed = tagged.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
-    return materialize(tagged.join(mixed, "gram", "left_semi"), "open")
-
-
-def _near_pivots(members: DataFrame) -> DataFrame:
-    """Each class with a pivot of each of its n-grams: the member with the least hash, so mostly the same one in a group."""
-    pivots = members.groupBy("gram").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), F.col("sig").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))).alias("pivot"))
-    near = members.join(pivots.select("gram", "pivot.p", "pivot.pn", "pivot.pl"), "gram").where("sig <> p").select("p", "pn", "pl", "sig", "n", "label").distinct()
-    return materialize(near, "near")
-
-
-def _linked_by_pivots(near: DataFrame, segments: DataFrame, num: int, den: int, fragments: int) -> DataFrame:
-    """Links ``(a, b)`` among the classes of each pivot that lie in different components.
-
-    A class is held as its symmetric difference X from the pivot, so what a
-    large group has in common drops out.  For two classes |x ^ y| is
-    |X| + |Y| - 2 |X & Y|, thus they link when 2 (den + num) |X & Y| reaches
-    the sum of their excesses, (den + num) |X| - (den - num) |x|.  If that sum
-    is 0 or less, both link with the pivot.  Otherwise they share an n-gram of
-    a prefix of their differences, rarest first, whose length follows from the
-    least excesses of their bands.  The overlap of a pair is counted by
-    fragment and summed.
-    """
-    total, gap = den + num, den - num
-    sets = segments.dropDuplicates(["sig", "frag"])
-    pivots = segments.join(near.select(F.col("p").alias("sig")).distinct(), "sig", "left_semi").dropDuplicates(["sig", "frag"])
-    none = F.array().cast("array<bigint>")
-    cut = near.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(fragments)])))
-    cut = cut.join(sets.select("sig", "frag", F.col("grams").alias("gx")), ["sig", "frag"], "left").join(pivots.select(F.col("sig").alias("p"), "frag", F.col("grams").alias("gp")), ["p", "frag"], "left")
-    gx, gp = F.coalesce("gx", none), F.coalesce("gp", none)
-    parts = materialize(cut.select("p", "pn", "pl", "sig", "n", "label", "frag", F.concat(F.array_except(gx, gp), F.array_except(gp, gx)).alias("diff")), "differences")
-    release(segments)
-    _let_go(near.sparkSession)
-
-    sized = parts.groupBy("p", "pn", "pl", "sig", "n", "label").agg(F.sum(F.size("diff")).alias("d"))
-    meets = F.col("d") * total <= (F.col("n").cast("long") + F.col("pn")) * gap
-    excess = F.col("d") * total - F.col("n").cast("long") * gap
-    band = F.floor(4 * F.log2(1 + (excess + F.col("pn").cast("long") * gap) / (F.col("pn").cast("long") * gap))).cast("int") if gap else F.lit(0)
-    sized = materialize(sized.select("p", "sig", "n", "d", meets.alias("meets"), F.when(meets, F.col("pl")).otherwise(F.col("label")).alias("label"), excess.alias("e"), band.alias("band")), "excesses")
-
-    grams = parts.select("p", "sig", F.explode("diff").alias("gram"))
-    uses = grams.groupBy("p", "gram").agg(F.count("*").alias("uses"))
-    ranked = grams.join(uses, ["p", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("p", "sig").orderBy("uses", "gram"))).where("uses > 1")
-    floors = sized.groupBy("p", "band").agg(F.min("e").alias("least")).groupBy("p").agg(F.collect_list(F.struct("band", "least")).alias("bands"))
-    held = sized.join(floors, "p")
-    own = F.expr("filter(bands, b -> b.band = band)[0].least")
-    held = held.withColumn("own", own).select("p", "sig", "n", "label", "e", "d", "band", "own", F.explode("bands").alias("o"))
-    held = held.withColumn("least", F.greatest(F.lit(1), F.ceil((F.col("own") + F.col("o.least")) / (2 * total)))).where("d >= least")
-    reach = held.select("p", "sig", "n", "label", "e", "band", F.col("o.band").alias("other"), "least", (F.col("d") - F.col("least") + 1).alias("upto"))
-    posts = materialize(ranked.join(reach, ["p", "sig"]).where("place <= upto").select("p", "gram", "sig", "n", "label", "e", "band", "other", "least"), "prefixes")
-    _let_go(near.sparkSession)
-    x = posts.select("p", "gram", "band", "other", "least", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("e").alias("ea"))
-    y = posts.select("p", "gram", F.col("other").alias("band"), F.col("band").alias("other"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("e").alias("eb"))
-    need = F.ceil((F.col("ea") + F.col("eb")) / (2 * total))
-    once = (F.col("band") < F.col("other")) | ((F.col("band") == F.col("other")) & (F.col("a") < F.col("b")))
-    shared = x.join(y, ["p", "gram", "band", "other"]).where(once & (F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("nb"), num, den))
-    pairs = materialize(shared.groupBy("p", "a", "b", need.alias("need"), "least").agg(F.count("*").alias("met")).where("met > need - least").select("p", "a", "b", "need"), "rest")
-
-    diffs = parts.select("p", "sig", "frag", "diff")
-    counted = pairs.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(fragments)])))
-    counted = counted.join(diffs.withColumnsRenamed({"sig": "a", "diff": "da"}), ["p", "a", "frag"]).join(diffs.withColumnsRenamed({"sig": "b", "diff": "db"}), ["p", "b", "frag"])
-    overlap = counted.groupBy("p", "a", "b", "need").agg(F.sum(F.size(F.array_intersect("da", "db"))).alias("c"))
-    out = materialize(sized.where("meets").select(F.col("p").alias("a"), F.col("sig").alias("b")).unionByName(overlap.where("c >= need").select("a", "b")), "pivot-links")
-    release(parts, sized, posts, pairs)
-    return out
 
+def _pairs(joined: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, na, b, nb)``, the smaller class first, of rows with the sides ``x`` and ``y``."""
+    swap = F.col("x") < F.col("y")
+    first = F.when(swap, F.col("nx")).otherwise(F.col("ny"))
+    second = F.when(swap, F.col("ny")).otherwise(F.col("nx"))
+    return joined.select(F.least("x", "y").alias("a"), first.alias("na"), F.greatest("x", "y").alias("b"), second.alias("nb")).distinct()
 
-def _let_go(spark: SparkSession) -> None:
-    """Shuffle files that nothing refers to any more are removed once the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows ``(gram, sig, n, pos, label)`` of n-grams whose classes lie in more than one component."""
+    named = labels.select(F.col("node").alias("sig"), F.col("label").alias("known"))
+    tagged = members.join(named, "sig", "left").withColumn("label", F.coalesce("known", "sig")).drop("known")
+    apart = tagged.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
+    return materialize(tagged.join(apart, "gram", "left_semi").select("gram", "sig", "n", "pos", "label"), "open")
+
+
+def _with_centres(tagged: DataFrame, centres: int, num: int, den: int) -> DataFrame:
+    """Pairs of each class with the ``centres`` classes that have its n-gram at the earliest share of their sets."""
+    rank = F.struct((F.col("pos") / F.col("n")).alias("share"), F.xxhash64("sig").alias("h"), "sig", "n", "pos", "label")
+    if centres == 1:
+        found = tagged.groupBy("gram").agg(F.min(rank).alias("c")).select("gram", "c.*")
+    else:
+        place = F.row_number().over(Window.partitionBy("gram").orderBy(F.col("pos") / F.col("n"), F.xxhash64("sig"), "sig"))
+        found = tagged.withColumn("place", place).where(F.col("place") <= centres)
+    star = _side(tagged, "x").join(_side(found, "y"), "gram")
+    return _pairs(star.where((F.col("labelx") != F.col("labely")) & _early("x", "y", num, den)))
+
+
+def _rest(tagged: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs that meet early enough and lie in different components: one side is always outside its n-gram's largest."""
+    sizes = tagged.groupBy("gram", "label").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("gram").agg(F.max(F.struct("m", "label")).alias("l")).select("gram", F.col("l.label").alias("major"))
+    few = _side(tagged, "x").join(largest, "gram").where("labelx != major")
+    joined = few.join(_side(tagged, "y"), "gram")
+    once = (F.col("labely") == F.col("major")) | (F.col("x") < F.col("y"))
+    return _pairs(joined.where((F.col("labelx") != F.col("labely")) & once & _early("x", "y", num, den)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -345,11 +332,10 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     often = local.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(ORDER_LIMIT).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("gram").to_numpy().view(U64), often.column("count").to_numpy()))
 
-    postings = texts.select("text").mapInArrow(_prefixes(k, num, den, order), "gram long, sig long, n int")
-    met = materialize(postings.repartition(width, "gram").sortWithinPartitions("gram", "sig").mapInArrow(_crowded, "gram long, sig long, n int, centre long, centre_n int"), "met")
-    _let_go(spark)
+    postings = texts.select("text").mapInArrow(_prefixes(k, num, den, order), _POSTING)
+    dealt = postings.repartition(width, "gram", "salt").sortWithinPartitions("gram", "salt", "sig")
+    members = materialize(dealt.mapInArrow(_shared, "gram long, sig long, n int, pos int"), "members")
     classes = own.where("n > 0").groupBy("sig").agg(F.min("id").alias("least_id"))
-
     nameless = own.where("id is null and n > 0").limit(1).count() > 0
 
     def fetched(signs: DataFrame) -> DataFrame:
@@ -362,46 +348,41 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
             sets = sets.unionByName(texts.where("id is null").mapInArrow(_segments(k, order, unnamed, FRAGMENTS, by_sign=True), kinds).dropDuplicates(["sig", "frag"]))
         return materialize(sets, "segments")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    tested: list[DataFrame] = []
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        """Links among the pairs that no earlier round has counted; None if there are no such pairs."""
+        for old in tested:
+            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(pairs.select("a", "na", "b", "nb"), "pairs")
+        tested.append(pairs)
+        if pairs.limit(1).count() == 0:
+            return None
         segments = fetched(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))
         out = materialize(_linked(pairs, segments, num, den, FRAGMENTS), "links")
-        release(pairs, segments)
-        _let_go(spark)
-        return out
-
-    # First, against one centre of each prefix n-gram, then against a few others each round.
-    swap = F.col("sig") < F.col("centre")
-    ordered = [F.least("sig", "centre").alias("a"), F.when(swap, F.col("n")).otherwise(F.col("centre_n")).alias("na"), F.greatest("sig", "centre").alias("b"), F.when(swap, F.col("centre_n")).otherwise(F.col("n")).alias("nb")]
-    fits = _fits(F.col("n"), F.col("centre_n"), num, den)
-    members = materialize(met.select("gram", "sig", "n").union(met.select("gram", F.col("centre").alias("sig"), F.col("centre_n").alias("n"))).distinct(), "members")
-    links = linked(materialize(_promising(met.where(fits).select(*ordered), num, den), "star"))
-    labels = connected_components(links)
-    tagged = _open(members, labels)
-    release(met)
-    for turn in range(1, STAR_ROUNDS):
-        drawn = F.row_number().over(Window.partitionBy("gram").orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
-        centres = tagged.withColumn("place", drawn).where(F.col("place") <= CENTRES).select("gram", F.col("sig").alias("centre"), F.col("n").alias("centre_n"), F.col("label").alias("centre_label"))
-        star = tagged.join(centres, "gram").where(fits & (F.col("label") != F.col("centre_label"))).select(*ordered)
-        links = links.unionByName(linked(materialize(_promising(star, num, den), "star")))
+        release(segments)
+        return out if out.limit(1).count() else None
+
+    links = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "node long, label long")
+    tagged = members.withColumn("label", F.col("sig"))
+    opened: list[DataFrame] = []
+    for turn in range(STAR_ROUNDS):
+        found = linked(_with_centres(tagged, CENTRES if turn else 1, num, den))
+        if found is None:
+            break
+        links = links.unionByName(found)
         labels = connected_components(links)
-        before, tagged = tagged, _open(members, labels)
-        release(before)
-
-    # Then all pairs that share prefix n-grams and aren't connected yet.  Those that share one with many classes are
-    # compared by their differences from its pivot; others share light n-grams only, so their count of these is whole.
-    crowds = materialize(tagged.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > LIGHT).select("gram"), "crowds")
-    release(members)
-    near = _near_pivots(tagged.join(crowds, "gram", "left_semi"))
-    links = links.unionByName(_linked_by_pivots(near, fetched(near.select("sig").union(near.select("p"))), num, den, FRAGMENTS))
-    _let_go(spark)
-    light = tagged.join(crowds, "gram", "left_anti")
-    left = light.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = light.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _fits(F.col("na"), F.col("nb"), num, den)).select("a", "na", "b", "nb")
-    joined = connected_components(links.unionByName(linked(materialize(_promising(rest, num, den), "rest"))))
+        tagged = _open(members, labels)
+        opened.append(tagged)
+    rest = linked(_rest(tagged, num, den))
+    if rest is not None:
+        labels = connected_components(links.unionByName(rest))
+    release(members, *opened, *tested)
 
     # The smallest id of each component of classes.
-    known = classes.join(joined.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    known = classes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = known.groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_class = known.join(least, "label").select("sig", "component_id")
-    return own.join(by_class, (own.sig == by_class.sig) & (own.n > 0), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return own.join(by_class, (own.sig == by_class.sig) & (own.n > 0), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
