@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import normal_target
+from scriptorium.operators.sequences import numbered
 
 
 def link_rows(pages: DataFrame) -> DataFrame:
@@ -72,6 +73,6 @@ def hrefs(pages: DataFrame) -> DataFrame:
 
 
 def interned(rows: DataFrame, key: str, order: str, least_chars: int) -> DataFrame:
-    """Values met more than once and longer than ``least_chars``, labelled ``c1`` … in order of first use."""
+    """Values met more than once and longer than ``least_chars``, labelled ``c1`` … in order of first use; ``order`` is a unique number."""
     often = rows.groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("uses")).where((F.col("uses") > 1) & (F.length(key) > least_chars))
-    return often.withColumn("label", F.concat(F.lit("c"), F.row_number().over(Window.orderBy("first")).cast("string")))
+    return numbered(often, "first").withColumn("label", F.concat(F.lit("c"), F.col("place").cast("string"))).drop("place")

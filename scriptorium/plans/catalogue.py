@@ -389,10 +389,10 @@ def page_components(spark, d):
     return graph.components(cited.join(first, "href").select(F.col("page_id").alias("a"), "b").unionByName(pages.select(F.col("page_id").alias("a"), F.col("page_id").alias("b"))))
 
 
-@_query(f"WITH {LINES} SELECT text, min(doc_id) AS first, count(*) AS uses, 'c' || row_number() OVER (ORDER BY min(doc_id * 100000 + ord)) AS label FROM line GROUP BY text HAVING count(*) > 1 AND length(text) > 60")
+@_query(f"WITH {LINES} SELECT text, min(doc_id) AS first, count(*) AS uses, 'c' || row_number() OVER (ORDER BY min(doc_id * 4294967296 + ord)) AS label FROM line GROUP BY text HAVING count(*) > 1 AND length(text) > 60")
 def context_intern(spark, d):
-    rows = blocks.line_blocks(_documents(spark, d)).select("text", (F.col("doc_id") * 100000 + F.col("ord")).alias("place"))
-    return links.interned(rows, "text", "place", 60).select("text", F.floor(F.col("first") / 100000).alias("first"), "uses", "label")
+    rows = blocks.line_blocks(_documents(spark, d)).select("text", (F.shiftleft("doc_id", 32) + F.col("ord")).alias("place"))
+    return links.interned(rows, "text", "place", 60).select("text", F.shiftright("first", 32).alias("first"), "uses", "label")
 
 
 @_query("""

@@ -45,7 +45,7 @@ def settled(stamps: DataFrame, digests: DataFrame, now, debounce: float, at: str
     """
     by = Window.partitionBy("path").orderBy(at)
     moved = stamps.withColumn("_new", ~F.lag("stamp").over(by).eqNullSafe(F.col("stamp")))
-    last = moved.groupBy("path").agg(F.max_by(F.struct("stamp", "digest"), at).alias("l"), F.max(F.when("_new", F.col(at))).alias("since"))
+    last = moved.groupBy("path").agg(F.max_by(F.struct("stamp", "digest"), at).alias("l"), F.max(F.when(F.col("_new"), F.col(at))).alias("since"))
     stable = last.where(F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("since").cast("timestamp")) >= debounce)
     fresh = stable.select("path", "l.stamp", "l.digest").join(digests.select("digest").distinct(), "digest", "left_anti")
     first = fresh.groupBy("digest").agg(F.min_by(F.struct("path", "stamp"), "path").alias("f"))
