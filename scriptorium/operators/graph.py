@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Written to the folder that all executors share, so that rounds don't pile up."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="rounds-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -23,11 +26,11 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def reachable(roots: DataFrame, refs: DataFrame, weak: DataFrame | None = None) -> DataFrame:
     """``(id)`` reached from ``roots(id)`` along ``refs(src, dst)``; weak roots are added at the end and not followed."""
-    seen = _kept(roots.select("id").distinct())
+    seen = kept(roots.select("id").distinct())
     frontier = seen
     while True:
         step = frontier.join(refs, frontier.id == refs.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = _kept(step)
+        frontier = kept(step)
         if frontier.limit(1).count() == 0:
             break
         seen = seen.unionByName(frontier)
@@ -36,13 +39,13 @@ def reachable(roots: DataFrame, refs: DataFrame, weak: DataFrame | None = None)
 
 def components(edges: DataFrame) -> DataFrame:
     """``(id, label)``: least id of each component of ``edges(a, b)``, by least labels and pointer jumps."""
-    both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
+    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, labels.id == near.a, "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("low"))
         up = labels.select(F.col("id").alias("low"), F.col("label").alias("up"))
-        labels = _kept(low.join(up, "low", "left").select("id", "old", F.least("low", F.coalesce("up", "low")).alias("label")))
+        labels = kept(low.join(up, "low", "left").select("id", "old", F.least("low", F.coalesce("up", "low")).alias("label")))
         if labels.where("label != old").limit(1).count() == 0:
             return labels.select("id", "label")
         labels = labels.select("id", "label")
