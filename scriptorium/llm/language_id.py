@@ -21,8 +21,8 @@ from .shingles import U64, mix
 UNDETERMINED = "und"
 #: Learning reads about this many rows of each language at most, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
-#: Slots of the table: 8 bytes each per 64 languages, whatever the input.
-SLOTS = 1 << 20
+#: Slots of the table for each n-gram that it holds, 8 bytes each per 64 languages; their number is a power of two.
+SLOTS_A_GRAM = 16
 HASHES = 3
 NGRAM = 3
 #: An n-gram belongs to a language where it is met in at least MIN_COUNT places
@@ -80,17 +80,17 @@ class LanguageFilter:
     def __init__(self, languages: list[str], hashes: np.ndarray, masks: np.ndarray):
         """``masks[i, w]`` has bit ``b`` set where n-gram ``i`` belongs to language ``64 w + b``."""
         self.languages = languages
-        self.table = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), U64)
+        self.slots = 1 << max(10, (SLOTS_A_GRAM * len(hashes)).bit_length())
+        self.table = np.zeros((max(1, -(-len(languages) // 64)), self.slots), U64)
         for slot in self._slots(hashes):
             for w in range(len(self.table)):
                 np.bitwise_or.at(self.table[w], slot, masks[:, w])
-        full = [np.count_nonzero((self.table[i >> 6] >> U64(i & 63)) & U64(1)) / SLOTS for i in range(len(languages))]
+        full = [np.count_nonzero((self.table[i >> 6] >> U64(i & 63)) & U64(1)) / self.slots for i in range(len(languages))]
         self.false_positive = np.array(full) ** HASHES
 
-    @staticmethod
-    def _slots(hashes: np.ndarray) -> list[np.ndarray]:
+    def _slots(self, hashes: np.ndarray) -> list[np.ndarray]:
         one, two = hashes & U64(0xFFFFFFFF), (hashes >> U64(32)) | U64(1)
-        return [((one + two * U64(i)) & U64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+        return [((one + two * U64(i)) & U64(self.slots - 1)).astype(np.int64) for i in range(HASHES)]
 
     def judge(self, texts: list[str]) -> list[tuple[str, float, float]]:
         """Language, score and the share of n-grams that the language has, for each text."""
@@ -124,9 +124,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Counts every language's rows over the whole table and reads about
     ``sample_rows`` of each, by a hash of the id.  Languages are few: their names
-    and counts reach the driver, as do the n-grams that belong to a language
-    (at most SLOTS, the most frequent ones).  An empty table gives a filter that
-    knows no language.
+    and counts reach the driver, as do all n-grams that belong to a language;
+    the sample bounds their number, and the table is sized by it.  An empty
+    table gives a filter that knows no language.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
@@ -160,7 +160,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     total = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n))])
     rates = counts.withColumn("rate", F.col("n") / F.element_at(total, F.col("k")))
     by_gram = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("k", "rate")).alias("all"))
-    kept = by_gram.orderBy(F.desc("top"), "gram").limit(SLOTS).select("gram", F.expr(f"transform(filter(all, x -> x.rate >= {SHARE} * top), x -> x.k)").alias("ks")).toArrow()
+    kept = by_gram.select("gram", F.expr(f"transform(filter(all, x -> x.rate >= {SHARE} * top), x -> x.k)").alias("ks")).toArrow()
     masks = np.zeros((len(kept), max(1, -(-len(languages) // 64))), U64)
     for i, ks in enumerate(kept.column("ks").to_pylist()):
         for k in ks:

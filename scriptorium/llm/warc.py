@@ -41,21 +41,22 @@ def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _record_id(page_id) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}"
+def _record_id(page_id, digest: str) -> str:
+    """The identifier of the record that others may refer to: of a page and its payload."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}"
 
 
-def _record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
+def _record(record_id: str, page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_record_id(page_id)}>", f"WARC-Date: {_DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {_DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_record_id(refers_to)}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_record_id(refers_to, digest)}>", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -113,8 +114,11 @@ def _bundles(frame_bytes: int, bundle_bytes: int):
                 payload = (html or "").encode()
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 kind = "response" if keeper is None or keeper == page_id else "revisit"
-                raw = _record(page_id, url, payload, digest, kind, keeper)
-                index.append((_record_id(page_id), len(frames), size, len(raw)))
+                # Rows with the same id and payload are records of their own; the first takes the name that revisits refer to.
+                first = batch.column("first")[i].as_py()
+                record_id = _record_id(page_id, digest) if first and kind == "response" else f"urn:uuid:{uuid.uuid4()}"
+                raw = _record(record_id, page_id, url, payload, digest, kind, keeper)
+                index.append((record_id, len(frames), size, len(raw)))
                 pending.append(raw)
                 size += len(raw)
                 if size >= frame_bytes:
@@ -140,9 +144,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
-    keyed = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    repeated = keyed.where(F.octet_length("html") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
-    joined = keyed.join(repeated, "digest", "left").select("page_id", "url", "html", "keeper")
+    keyed = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("row", F.monotonically_increasing_id())
+    # Of the rows of a payload, the least row with the largest id bears the name; a payload that occurs once has no entry.
+    by_payload = keyed.select("digest", "page_id", "row", F.octet_length("html").alias("size")).groupBy("digest")
+    keepers = by_payload.agg(F.max("page_id").alias("keeper"), F.max(F.struct("page_id", (-F.col("row")).alias("back"))).alias("named"), F.count("*").alias("n"), F.max("size").alias("size")).where("n > 1")
+    repeated = keepers.select("digest", F.when(F.col("size") >= min_revisit_bytes, F.col("keeper")).alias("keeper"), (-F.col("named.back")).alias("named"))
+    # A hot payload's rows are split between tasks by the adaptive skew join, as only the left side has many.
+    joined = keyed.join(repeated, "digest", "left").select("page_id", "url", "html", "keeper", F.coalesce(F.col("named") == F.col("row"), F.col("page_id").isNotNull()).alias("first"))
     bundles = joined.mapInArrow(_bundles(frame_bytes, bundle_bytes), "bundle binary")
     (
         bundles.select(F.col("bundle").cast("string").alias("value"))
@@ -180,6 +188,35 @@ def read_record(content: bytes, record_id: str) -> dict:
     return parse_record(zstandard.ZstdDecompressor().decompress(content[begin : begin + packed])[at : at + length])
 
 
+def fetch_record(spark: SparkSession, bundle: str, record_id: str) -> dict:
+    """One record of a bundle on any file system that Spark knows, by positioned reads of the footer, the tables and one frame."""
+    import zstandard
+
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(bundle)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    size, stream = fs.getFileStatus(path).getLen(), fs.open(path)
+
+    def read(at: int, n: int) -> bytes:
+        stream.seek(at)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+
+    try:
+        foot = read(size - 9, 9)
+        if foot[-4:] != FOOTER_MAGIC:
+            raise ValueError("not a seekable bundle")
+        count = struct.unpack("<I", foot[:4])[0]
+        packed = [n for n, _ in struct.iter_unpack("<II", read(size - 9 - 8 * count, 8 * count))]
+        end = sum(packed)
+        length = struct.unpack("<II", read(end, 8))[1]
+        rows = json.loads(zstandard.ZstdDecompressor().decompress(read(end + 8, length), max_output_size=1 << 30))
+        _, frame, at, n = next(r for r in rows if r[0] == record_id)
+        raw = zstandard.ZstdDecompressor().decompress(read(sum(packed[:frame]), packed[frame]))
+        return parse_record(raw[at : at + n])
+    finally:
+        stream.close()
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
 
