@@ -213,3 +213,56 @@ def published_images(files: DataFrame, assets: DataFrame) -> DataFrame:
     stem = F.regexp_extract("path", r"([^/]+)\.(?i:png|jpe?g|gif|webp|bmp|tiff?)$", 1)
     found = files.select("path", stem.alias("asset"), F.sha2("content", 256).alias("_h")).where("asset <> '' and asset = _h")
     return found.join(assets.select("asset").distinct(), "asset", "left_semi").groupBy("asset").agg(F.min("path").alias("path"))
+
+
+def inspect_parse(blocks: DataFrame, quality: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A page of the identities of blocks ``(ord, block_id, kind, chars)`` in order, with the reviews of each ``(block_id, reason)`` and the total."""
+    from scriptorium.operators.search import page
+
+    reviews = quality.groupBy("block_id").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+    cut = page(blocks.select("ord", "block_id", "kind", "chars"), ["ord"], offset, limit)
+    return cut.join(reviews, "block_id", "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+
+
+def cloud_jobs(jobs: DataFrame, versions: DataFrame, source_id: str) -> DataFrame:
+    """Jobs ``(job, version_id, pages, done)`` of a source's versions; unknown counters are 0, negative ones or ones past the pages break the row."""
+    own = versions.where(F.col("source_id") == source_id).select("version_id")
+    counted = jobs.join(own, "version_id").withColumn("pages", F.coalesce("pages", F.lit(0))).withColumn("done", F.coalesce("done", F.lit(0)))
+    return counted.withColumn("valid", (F.col("pages") >= 0) & F.col("done").between(0, F.col("pages")))
+
+
+def receipt_verified(state: Column, expected: Column, got: Column, digest: Column, own: Column) -> Column:
+    """Whether a finished job's receipt names all its pages and its own content."""
+    return F.coalesce((state == "succeeded") & (expected == got) & (expected > 0) & (digest == own), F.lit(False))
+
+
+def local_omissions(quality: DataFrame) -> DataFrame:
+    """``(ord, reason)`` of the rows to review, in their order, repeats kept."""
+    return quality.where("status = 'needs_review'").select("ord", "reason")
+
+
+def measurement_faults(records: DataFrame) -> DataFrame:
+    """``(run, id, fault)`` of measured records ``(run, kind, id, stage, status, started, elapsed, tokens)``: blank names, repeated ids of a kind, durations that are negative or not finite, unsettled spans, negative tokens."""
+    repeated = F.count("*").over(Window.partitionBy("run", "kind", "id")) > 1
+    blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0) | (F.col(c) == float("inf"))
+    fault = (
+        F.when(blank("id") | blank("stage"), "identity").when(F.col("_n"), "repeated").when(odd("started") | odd("elapsed"), "duration")
+        .when((F.col("kind") == "span") & ~F.coalesce(F.col("status").isin("completed", "interrupted"), F.lit(False)), "unsettled")
+        .when(F.col("tokens") < 0, "tokens")
+    )
+    return records.withColumn("_n", repeated).select("run", "id", fault.alias("fault")).where("fault is not null")
+
+
+def folder_files(files: DataFrame, folder: str) -> DataFrame:
+    """``(name)`` of the Markdown files that lie in a folder itself, by name."""
+    own = F.regexp_extract("path", r"^(.*)/([^/]+\.md)$", 2)
+    return files.where((F.regexp_extract("path", r"^(.*)/[^/]+$", 1) == folder) & (own != "")).select(own.alias("name")).distinct()
+
+
+def navigation_page(published: DataFrame, nodes: DataFrame, source_id: str, offset: int, limit: int) -> DataFrame:
+    """A page of the nodes ``(tree_id, node, …)`` of the tree that ``published(source_id, seq, tree_id)`` shows last."""
+    from scriptorium.operators.search import page
+
+    shown = latest(published.where(F.col("source_id") == source_id), "source_id", "seq", "tree_id").select("tree_id")
+    return page(nodes.join(shown, "tree_id"), ["node"], offset, limit)

@@ -338,3 +338,86 @@ def scaled_boxes(spark, d):
     i = (F.col("doc_id") % 50).cast("double")
     box = checks.scaled_box(F.array(i, F.lit(10.0), i + 10, F.lit(50.0)), F.lit(200.0), F.lit(400.0), F.lit(100.0), F.lit(200.0), F.lit(0))
     return _docs(spark, d).select("doc_id", F.array_join(F.transform(box, lambda x: F.round(x, 1).cast("string")), ",").alias("box"))
+
+
+def _files(spark, d) -> DataFrame:
+    i = F.col("doc_id")
+    kinds = F.when(i % 4 == 0, ".md").when(i % 4 == 1, ".txt").when(i % 4 == 2, ".csv").otherwise(".odt")
+    return _docs(spark, d).select("doc_id", F.concat(_id("raw/f"), kinds).alias("path"), F.encode(F.concat(F.lit("# H\n"), "text"), "UTF-8").alias("content"))
+
+
+@query("""
+WITH f AS (SELECT *, 'raw/f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.csv' ELSE '.odt' END AS path FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 5 = 0))
+SELECT path, 0 AS ord, CASE WHEN doc_id % 4 < 3 THEN CASE WHEN doc_id % 4 = 0 THEN 'heading' ELSE 'paragraph' END END AS kind, CASE WHEN doc_id % 4 < 3 THEN sha256('# H') END AS digest, CASE WHEN doc_id % 4 = 3 THEN 'unknown_kind' END AS error FROM f
+UNION ALL SELECT path, 1, 'paragraph', sha256(text), NULL FROM f WHERE doc_id % 4 < 3 AND trim(text) <> ''
+""")
+def parsed_files(spark, d):
+    """Files of four kinds, the contents of every fifth one parsed before; the texts hold no blank lines, so each is a heading line and a paragraph."""
+    from scriptorium.sources import documents
+
+    files = _files(spark, d)
+    before = files.where("doc_id % 5 = 0").select(documents.lookup_key(F.col("content"), "1").alias("lookup_key"))
+    return documents.parse_files(files.select("path", "content"), before).select("path", "ord", "kind", F.sha2("text", 256).alias("digest"), "error")
+
+
+@query("""
+SELECT 'raw/f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.csv' ELSE '.odt' END AS path, CASE WHEN doc_id % 4 = 3 THEN 'needs_review' ELSE 'verified' END AS status, CASE WHEN doc_id % 4 = 3 THEN 'unknown_kind' END AS reason FROM documents
+""")
+def parse_quality(spark, d):
+    from scriptorium.sources import documents
+
+    files = _files(spark, d)
+    return documents.parse_quality(files, documents.parse_files(files.select("path", "content")))
+
+
+@query("""
+SELECT doc_id AS ord, 'b' || doc_id AS block_id, lang AS kind, n_chars AS chars, CASE WHEN doc_id % 2 = 0 THEN 'gap' ELSE '' END AS reasons, (SELECT count(*) FROM documents) AS total, CASE WHEN 60 < (SELECT count(*) FROM documents) THEN CAST(60 AS BIGINT) END AS next_offset
+FROM documents ORDER BY doc_id LIMIT 50 OFFSET 10
+""")
+def parse_inspection(spark, d):
+    """A page of blocks with their reviews (the page is the feature)."""
+    docs = _docs(spark, d).select(F.col("doc_id").alias("ord"), _id("b").alias("block_id"), F.col("lang").alias("kind"), F.col("n_chars").alias("chars"))
+    reviews = docs.where("ord % 2 = 0").select("block_id", F.lit("gap").alias("reason"))
+    return status.inspect_parse(docs, reviews, 10, 50).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("SELECT doc_id AS job, coalesce(CASE WHEN doc_id % 3 <> 0 THEN doc_id % 10 END, 0) AS pages, 4 AS done, coalesce(CASE WHEN doc_id % 3 <> 0 THEN doc_id % 10 END, 0) >= 4 AS valid FROM documents WHERE source = 'src3'")
+def source_jobs(spark, d):
+    i = F.col("doc_id")
+    jobs = _docs(spark, d).select(i.alias("job"), _id("v").alias("version_id"), F.when(i % 3 != 0, i % 10).alias("pages"), F.lit(4).alias("done"))
+    return status.cloud_jobs(jobs, _docs(spark, d).select(_id("v").alias("version_id"), F.col("source").alias("source_id")), "src3").drop("version_id")
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AND doc_id % 5 <> 0 AND doc_id % 2 = 0 AS verified FROM documents")
+def job_receipts(spark, d):
+    i = F.col("doc_id")
+    state = F.when(i % 3 == 0, "succeeded").otherwise("running")
+    return _docs(spark, d).select("doc_id", status.receipt_verified(state, i % 5, F.when(i % 2 == 0, i % 5).otherwise(-1), F.lit("d"), F.lit("d")).alias("verified"))
+
+
+@query("""
+SELECT user_id AS run, CASE WHEN event_id % 40 = 1 THEN '' ELSE CAST(event_id AS VARCHAR) END AS id,
+  CASE WHEN event_id % 40 = 1 THEN 'identity' WHEN event_id % 40 = 2 THEN 'duration' WHEN event_id % 40 = 3 THEN 'unsettled' ELSE 'tokens' END AS fault FROM events WHERE event_id % 40 BETWEEN 1 AND 4
+""")
+def measurement_faults(spark, d):
+    """Measured records with four kinds of faults."""
+    i = F.col("event_id") % 40
+    e = table(spark, d, "events")
+    name = F.when(i == 1, "").otherwise(F.col("event_id").cast("string"))
+    rows = e.select(F.col("user_id").alias("run"), F.lit("span").alias("kind"), name.alias("id"), F.lit("s").alias("stage"), F.when(i == 3, "open").otherwise("completed").alias("status"), F.lit(0.0).alias("started"), F.when(i == 2, float("nan")).otherwise(F.col("value")).alias("elapsed"), F.when(i == 4, -1).otherwise(1).alias("tokens"))
+    return status.measurement_faults(rows)
+
+
+@query("SELECT 'd' || doc_id || '.md' AS name FROM documents WHERE doc_id % 3 = 1")
+def folder_files(spark, d):
+    i = F.col("doc_id")
+    path = F.concat(F.when(i % 3 == 1, "wiki/concepts").when(i % 3 == 2, "wiki/concepts/deep").otherwise("wiki"), _id("/d"), F.lit(".md"))
+    return status.folder_files(_docs(spark, d).select(path.alias("path")), "wiki/concepts")
+
+
+@query("SELECT doc_id AS node, (SELECT max(doc_id) % 7 FROM documents) AS tree_id, (SELECT count(*) FROM documents WHERE doc_id % 7 = (SELECT max(doc_id) % 7 FROM documents)) AS total FROM documents WHERE doc_id % 7 = (SELECT max(doc_id) % 7 FROM documents) ORDER BY doc_id LIMIT 20 OFFSET 5")
+def navigation_page(spark, d):
+    """A page of the nodes of the tree published last (the page is the feature)."""
+    docs, i = _docs(spark, d), F.col("doc_id")
+    published = docs.select(F.lit("s").alias("source_id"), i.alias("seq"), (i % 7).alias("tree_id"))
+    return status.navigation_page(published, docs.select((i % 7).alias("tree_id"), i.alias("node")), "s", 5, 20).select("node", "tree_id", "total")

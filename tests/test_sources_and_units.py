@@ -85,6 +85,9 @@ def test_checks(spark):
     assert column(spark, ["A1", "XFD1048576", "XFE1", "A1048577", "a1", "AB0"], checks.cell_place) == [(1, 1), (1048576, 16384), None, None, None, None]
     places = ['{"kind":"xlsx","sheet":"S","sheet_index":1,"cell_address":"B2","cell_range":"A1:C3"}', '{"kind":"xlsx","sheet":"S","sheet_index":0}', '{"kind":"pdf","page":1,"display_bbox":[0,0,1,1]}', '{"kind":"pptx","slide":1,"notes":true}', '{"kind":"text","line":"x"}', None]
     assert column(spark, places, checks.location_fault) == [None, "worksheet", "display box", None, "position", "kind"]
+    nest = lambda inner, n: inner if not n else '{"kind":"docx","attachment":{"part":"p","name":"n","blob":"%s","position":%s}}' % ("a" * 64, nest(inner, n - 1))  # noqa: E731, UP031
+    page = '{"kind":"pdf","page":%d}'
+    assert column(spark, [nest(page % 1, 3), nest(page % 0, 2), nest(page % 1, 9), "x"], checks.nested_location_fault) == [None, "position", "depth", "kind"]
     assert column(spark, ['```json\n{"b":1,"a":[2]}\n```', '{"a":1,"a":1}', "3", None], checks.strict_json) == ['{"a":[2],"b":1}', None, None, None]
     assert column(spark, ['{"kind":"xlsx","sheet":"S","cell_address":"B2","attachment":{"name":"n","position":{"kind":"pdf","page":3}}}'], checks.placeless) == ['{"attachment":{"name":"n","position":{"kind":"pdf"}},"kind":"xlsx","sheet":"S"}']
     turned = spark.range(1).select(checks.scaled_box(F.array(*map(F.lit, [1.0, 2.0, 3.0, 5.0])), F.lit(100.0), F.lit(200.0), F.lit(20.0), F.lit(10.0), F.lit(90))).first()[0]
@@ -261,3 +264,25 @@ def test_status(spark):
     states = [status.selection(registry, *x).first()["state"] for x in ((None, False), ("a.pdf", True), ("a.pdf", False), (".pdf", False), ("zz", False), (None, True))]
     assert states == ["invalid", "invalid", "ready", "multiple", "not_found", "ready"]
     assert status.selection(registry.limit(0), None, True).first()["state"] == "empty"
+
+
+def test_topics(spark):
+    from scriptorium.operators import knowledge
+
+    rng = random.Random(8)
+    rows = [(i, [f"L{rng.randrange(30)}" if rng.random() < 0.6 else f"own {i}", " ", None]) for i in range(60)] + [(60, []), (61, ["ｌ1"])]
+    clusters = {i: {i} for i, _ in rows}
+    forms = {i: {"l1" if x == "ｌ1" else x.lower() for x in labels if x and x.strip()} for i, labels in rows}
+    for a in forms:
+        for b in forms:
+            if forms[a] & forms[b] and clusters[a] is not clusters[b]:
+                clusters[a] |= clusters[b]
+                for c in clusters[a]:
+                    clusters[c] = clusters[a]
+    got = knowledge.label_clusters(spark.createDataFrame(rows, "group long, labels array<string>")).collect()
+    assert {r["group"]: r["cluster"] for r in got} == {i: min(c) for i, c in clusters.items()}
+    texts = ["x<!-- source:s -->y<!-- /source:s -->z", "<!-- source:a --><!-- source:s -->y<!-- /source:s --><!-- /source:a -->", "<!-- /source:s --><!-- source:s -->", "none", None]
+    assert column(spark, texts, lambda c: knowledge.without_range(c, F.lit("s"))) == ["xz", None, None, "none", None]
+    assert column(spark, ["a\n## H\n- x\n## K\n- x", "no"], lambda c: knowledge.upsert_entry(c, "## K", F.lit("- y"), F.lit("- y 1"))) == ["a\n## H\n- x\n## K\n- y 1\n- x", "no"]
+    with pytest.raises(Exception, match="unknown label"):
+        knowledge.known_labels(spark.createDataFrame([("p", "z")], "plan string, label string"), spark.createDataFrame([("a", "m")], "label string, member string")).collect()
