@@ -22,7 +22,7 @@ def test_text(spark):
     assert one(spark, "a!!b", T.concept_name) == "a--b"
     assert one(spark, "!!", T.document_stem) == "document"
     assert one(spark, "HTTP://Ex.Com#f", T.url_origin) == "http://ex.com/"
-    assert one(spark, "Copy of Plan (copy) 2", T.document_label) == "Plan"
+    assert one(spark, "Copy of Plan (copy 2)", T.document_label) == "Plan"
     assert one(spark, "x" * 70, T.title_from) == "x" * 59 + "…"
     assert one(spark, "ﬁ", T.nfkc) == "fi"
     assert one(spark, "Straße", T.casefold) == "strasse"
