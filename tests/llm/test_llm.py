@@ -191,6 +191,11 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(index) == len(rows)
     content = bytes(spark.read.format("binaryFile").load(index[0]["bundle"]).first()["content"])
     assert warc.read_record(content, index[0]["record_id"])["fields"]["warc-record-id"] == f"<{index[0]['record_id']}>"
+    assert len({r["record_id"] for r in index}) == len(rows), "repeated and null ids are records of their own"
+    fetched = [warc.fetch_record(spark, r["bundle"], r["record_id"]) for r in index]
+    assert [f["fields"]["warc-record-id"] for f in fetched] == [f"<{r['record_id']}>" for r in index]
+    names = {f["fields"]["warc-record-id"] for f in fetched}
+    assert {f["fields"]["warc-refers-to"] for f in fetched if "warc-refers-to" in f["fields"]} <= names
     import zstandard
 
     whole = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).read()
@@ -261,6 +266,26 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_language_of_held_out_rows(spark):
+    """Trained on two thirds of the small table, the rest is told right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.op8_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) > 250 and sum(r["lang_pred"] == r["lang"] for r in got) >= 0.97 * len(got)
+    long = spark.createDataFrame([(1, "the thing " * 60_000, "x"), (1, "the thing " * 60_000, "x"), (None, None, None)], "doc_id long, text string, score string")
+    model = language_id.train(spark.createDataFrame([(i, t, k) for i in range(40) for k, t in (("en", "the thing that they thought"), ("fr", "être après déjà où français"))], "doc_id long, text string, lang string"))
+    assert sorted((r["language"]["lang"], r["score"] or "") for r in language_id.identify(long, model).collect()) == [("en", "x"), ("en", "x"), ("und", "")]
+
+
+def test_quality_of_held_out_rows(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = queries.op10_quality(spark, "/root/testdata/sf0.01").where("held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    assert len(got) > 60 and sum(r["predicted"] == r["quality"] for r in got) >= 0.88 * len(got)
+    ranked = sorted(got, key=lambda r: r["score"])
+    ones = [i for i, r in enumerate(ranked) if r["quality"] == 1]
+    area = (sum(ones) - len(ones) * (len(ones) - 1) / 2) / (len(ones) * (len(ranked) - len(ones)))
+    assert area >= 0.95
+
+
 def test_quality_separates(spark, docs, empty):
     rng = random.Random(2)
     good, bad = ["river", "house", "green", "walk"], ["buy%%%", "now$$$", "cheap###", "win***"]
@@ -331,6 +356,53 @@ def test_mixing_draws_values_that_no_target_names(spark):
     assert abs(50 * weights[mixing.OTHER,] - 20) < 1e-6, "what the targets leave of 1 stays the share of the others"
 
 
+def test_pipeline_against_plain_versions(spark):
+    """Each stage's ids and texts, from its own input, by plain Python."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = {}
+    for name, stage in p.STAGES[:-1]:
+        before = [r.asDict() for r in docs.collect()]
+        docs = p.materialize(stage(spark, docs, sf), name)
+        assert docs.columns == p.COLUMNS
+        seen[name] = (before, [r.asDict() for r in docs.collect()])
+
+    before, after = seen["language_id"]
+    texts = {r["doc_id"]: r["text"] for r in before}
+    assert all(texts[r["doc_id"]] == r["text"] for r in after) and len(after) <= len(before)
+    gone = {r["doc_id"] for r in before} - {r["doc_id"] for r in after}
+    long_enough = [r["doc_id"] for r in before if len(re.findall(r"[^\W\d_]{3,}", r["text"])) > 30]
+    assert len(gone & set(long_enough)) <= 0.01 * len(long_enough), "running prose stays"
+
+    before, after = seen["ngram_jaccard_join"]
+    groups = brute_components([(r["doc_id"], shingles(r["text"])) for r in before])
+    assert sorted(r["doc_id"] for r in after) == sorted({d for d, _, c in groups if d == c})
+
+    before, after = seen["secret_scans"]
+    found = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(before, docs.schema)).collect()}
+    by_id = {r["doc_id"]: r for r in after}
+    for r in before:
+        out, at = "", 0
+        for s in found[r["doc_id"]]["found"]:
+            if s["start"] >= at:
+                out += r["text"][at : s["start"]] + "[SECRET]"
+            at = max(at, s["end"])
+        out += r["text"][at:]
+        assert by_id[r["doc_id"]]["text"] == out and by_id[r["doc_id"]]["n_chars"] == len(out)
+
+    before, after = seen["mixing"]
+    copies = {r["doc_id"]: r["mix_copies"] for r in queries.mixed(spark.createDataFrame(before, docs.schema), within_rows=True).collect()}
+    assert sorted(r["doc_id"] for r in after) == sorted(d for d, n in copies.items() for _ in range(n))
+    spm = pytest.importorskip("sentencepiece")
+    sp = spm.SentencePieceProcessor(model_file=queries.model_path())
+    want = sorted((r["doc_id"], hashlib.sha256(",".join(map(str, sp.encode(r["text"]))).encode()).hexdigest()) for r in after)
+    assert sorted((r["doc_id"], r["ids_sha256"]) for r in p.STAGES[-1][1](spark, docs, sf).collect()) == want
+    empty = docs.limit(0)
+    assert all(stage(spark, empty, sf).count() == 0 for _, stage in p.STAGES)
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as p
 
