@@ -137,8 +137,9 @@ def _prefixes(k: int, num: int, den: int, order):
     def run(batches):
         done: set[int] = set()
         for batch in batches:
-            grams, salts, signs, sizes, places = [], [], [], [], []
+            # A slice of texts at a time, so that a run of long ones makes no large batch.
             for _, sets in shingle_sets(batch.column("text"), k):
+                grams, salts, signs, sizes, places = [], [], [], [], []
                 for s in sets:
                     if not len(s):
                         continue
@@ -153,10 +154,10 @@ def _prefixes(k: int, num: int, den: int, order):
                     signs.append(np.full(len(top), sign, np.int64))
                     sizes.append(np.full(len(top), len(s), np.int32))
                     places.append(np.arange(len(top), dtype=np.int32))
-            if grams:
-                flat = [np.concatenate(x) for x in (grams, salts, signs, sizes, places)]
-                flat[0] = flat[0].view(np.int64)
-                yield pa.record_batch([pa.array(x) for x in flat], names=["gram", "salt", "sig", "n", "pos"])
+                if grams:
+                    flat = [np.concatenate(x) for x in (grams, salts, signs, sizes, places)]
+                    flat[0] = flat[0].view(np.int64)
+                    yield pa.record_batch([pa.array(x) for x in flat], names=["gram", "salt", "sig", "n", "pos"])
 
     return run
 
@@ -202,8 +203,8 @@ def _segments(k: int, order, wanted, fragments: int, by_sign: bool = False):
             passed = np.arange(batch.num_rows) if by_sign else np.flatnonzero(_passes(bits, batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)))
             if not len(passed):
                 continue
-            signs, frags, parts = [], [], []
             for _, sets in shingle_sets(batch.column("text").take(pa.array(passed)), k):
+                signs, frags, parts = [], [], []
                 for s in sets:
                     if not len(s):
                         continue
@@ -220,9 +221,9 @@ def _segments(k: int, order, wanted, fragments: int, by_sign: bool = False):
                             signs.append(sign)
                             frags.append(f)
                             parts.append(piece.view(np.int64))
-            if parts:
-                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
-                yield pa.record_batch([pa.array(signs, pa.int64()), pa.array(frags, pa.int32()), flat], names=["sig", "frag", "grams"])
+                if parts:
+                    flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+                    yield pa.record_batch([pa.array(signs, pa.int64()), pa.array(frags, pa.int32()), flat], names=["sig", "frag", "grams"])
 
     return run
 
