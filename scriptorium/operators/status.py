@@ -12,7 +12,7 @@ PREVIEW_CHARS = 16000
 
 def display_type(raw: Column) -> Column:
     """How a document's stored type is shown."""
-    return F.when(raw == "long_pdf", "pageindex").when(raw.isin("pageindex", "short", "raw"), raw).when(raw.isNull() | (raw == ""), "raw").otherwise("short")
+    return F.when(raw == "long_pdf", "indexed").when(raw.isin("indexed", "short", "raw"), raw).when(raw.isNull() | (raw == ""), "raw").otherwise("short")
 
 
 def inventory(registry: DataFrame, sources: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _id(prefix: str):
 
 
 @query("""
-WITH r AS (SELECT 's' || doc_id AS source_id, 'd' || doc_id AS name, CASE doc_id % 3 WHEN 0 THEN 'pageindex' WHEN 1 THEN 'short' ELSE 'raw' END AS type FROM documents WHERE doc_id % 4 <> 1),
+WITH r AS (SELECT 's' || doc_id AS source_id, 'd' || doc_id AS name, CASE doc_id % 3 WHEN 0 THEN 'indexed' WHEN 1 THEN 'short' ELSE 'raw' END AS type FROM documents WHERE doc_id % 4 <> 1),
 s AS (SELECT 's' || doc_id AS source_id, 'file:' || doc_id AS origin, CASE doc_id % 5 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'parsing' END AS state FROM documents WHERE doc_id % 6 <> 2)
 SELECT coalesce(r.source_id, s.source_id) AS source_id, coalesce(name, origin) AS name, coalesce(type, 'raw') AS type, coalesce(state, 'complete') AS state FROM r FULL JOIN s ON r.source_id = s.source_id WHERE r.source_id IS NOT NULL OR state <> 'complete'
 """)
