@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, jaccard_join, language_id, mixing, pieces, quality, secret_scan, url_filter, warc
+from . import ann, exact_dedup, fill_middle, fingerprint, jaccard_join, language_id, mixing, pieces, quality, secret_scan, url_filter, warc, whitening
 from .common import fresh_path, table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -86,8 +86,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), all_digests=True)
+    return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = rows.select(F.col("id").alias("vec_id"), "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "value"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"), F.get("explained", "at").alias("explained"), "identity_error")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_nearest_neighbours, op3_fingerprints, op4_warc, op5_pieces, op6_secret_scans, op7_mixing, op8_language_id, op9_jaccard_join, op10_quality)}
+    return {f.__name__: f for f in (op1_url_filters, op2_nearest_neighbours, op3_fingerprints, op4_warc, op5_pieces, op6_secret_scans, op7_mixing, op8_language_id, op9_jaccard_join, op10_quality, op11_exact_dedup, op12_whitening, op13_fill_in_middle)}
 
 
 _OP1 = r"""
@@ -130,5 +146,33 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(label) FROM r WHERE
 """
 
 
+_OP11 = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY body)
+"""
+
+
+_OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('1:' || doc_id) AS h FROM documents
+), u AS (
+  SELECT doc_id, body, regexp_extract_all(body, '(?s)[A-Za-z]+|[^A-Za-z]') AS units, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t
+), c AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+         CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT doc_id, body, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _OP1, "op9_jaccard_join": _OP9}
+    return {"op1_url_filters": _OP1, "op9_jaccard_join": _OP9, "op11_exact_dedup": _OP11, "op13_fill_in_middle": _OP13}
