@@ -78,6 +78,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keys = ["size", "start", "digest"]
     groups = narrow.where("open").groupBy(*keys).agg(F.max(F.struct("id", "row_key")).alias("last"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # Written first, so that both sides of the join are dealt for it alone and a large group may be split.
+    groups = materialize(groups, "groups")
     met = groups.select(*[F.col(k).alias(f"group_{k}") for k in keys], "last", "rows")
     joined = narrow.join(met, [F.col(k) == F.col(f"group_{k}") for k in keys], "left")
     alone = F.col("last").isNull()
