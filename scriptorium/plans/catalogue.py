@@ -405,7 +405,7 @@ def debounce_sessions(spark, d):
     return watch.debounced(e, "10 minutes", "event_type").select("event_type", F.unix_micros("begin").alias("begin_us"), "events", F.array_join("paths", ",").alias("paths"))
 
 
-@_query("SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back FROM events) WHERE back <= 200")
+@_query("SELECT event_type, event_id, seq FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE seq > n - 200")
 def ring_buffer(spark, d):
     return watch.ring_buffer(table(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id")
 

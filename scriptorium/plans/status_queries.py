@@ -232,7 +232,7 @@ def deck_issues(spark, d):
     return packages.deck_issues(_docs(spark, d).select(_id("deck-").alias("deck"), html.alias("html")), ["cover", "closing"], ["cover", "chapter", "closing"], 4, 1, "data-type")
 
 
-@query("SELECT event_type, event_id, CAST(seq AS INTEGER) AS seq FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back FROM events) WHERE back <= 200) WHERE seq BETWEEN 50 AND 79")
+@query("SELECT event_type, event_id, seq FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE seq >= greatest(50, n - 199) AND seq < greatest(50, n - 199) + 30")
 def watch_replay(spark, d):
     """Thirty kept events of each kind from number 50 on (the bound is the feature)."""
     return watch.replay(table(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id", 50, 30)

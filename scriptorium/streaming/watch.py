@@ -19,10 +19,10 @@ def debounced(events: DataFrame, gap: str, key: str, at: str = "ts", delay: str
 
 
 def ring_buffer(events: DataFrame, key: str, order: str, size: int = 200) -> DataFrame:
-    """The last ``size`` events of each key, with a sequence number from the oldest kept (batch form of a capped list state)."""
-    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    kept = events.withColumn("back", back).where(F.col("back") <= size).drop("back")
-    return kept.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    """The last ``size`` events of each key, with the number ``seq`` that each got when it came, from 1 (batch form of ``stateful.numbered_stream``)."""
+    by = Window.partitionBy(key)
+    numbered = events.withColumn("seq", F.row_number().over(by.orderBy(order)).cast("long")).withColumn("_n", F.count("*").over(by))
+    return numbered.where(F.col("seq") > F.col("_n") - size).drop("_n")
 
 
 def first_claims(requests: DataFrame, key: str, at: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -30,10 +30,11 @@ def first_claims(requests: DataFrame, key: str, at: str = "ts", delay: str = "1
     return requests.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def replay(events: DataFrame, key: str, order: str, since: dict[str, int] | int, most: int) -> DataFrame:
-    """The first ``most`` kept events of each key from the sequence number ``since`` on."""
-    rows = ring_buffer(events, key, order).where(F.col("seq") >= since)
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("seq"))).where(F.col("_k") <= most).drop("_k")
+def replay(events: DataFrame, key: str, order: str, since: int, most: int) -> DataFrame:
+    """The first ``most`` kept events of each key from the number ``since`` on, or from the oldest kept if it has gone."""
+    first = F.greatest(F.lit(since), F.min("seq").over(Window.partitionBy(key)))
+    rows = ring_buffer(events, key, order).withColumn("_first", first)
+    return rows.where((F.col("seq") >= F.col("_first")) & (F.col("seq") < F.col("_first") + most)).drop("_first")
 
 
 def settled(stamps: DataFrame, digests: DataFrame, now, debounce: float, at: str = "at") -> DataFrame:
