@@ -17,7 +17,7 @@ def _files(e):
 
 
 @query(f"""
-WITH e AS (SELECT 'u' || user_id AS path, epoch_ms(ts) AS at, event_type AS stamp, CAST(((CAST(floor(value) AS BIGINT) % 3) + 3) % 3 AS VARCHAR) AS digest FROM events),
+WITH e AS (SELECT 'u' || user_id AS path, epoch_us(ts) // 1000 AS at, event_type AS stamp, CAST(((CAST(floor(value) AS BIGINT) % 3) + 3) % 3 AS VARCHAR) AS digest FROM events),
 m AS (SELECT max(at) - {DELAY_MS} AS mark FROM e),
 r AS (SELECT *, stamp IS DISTINCT FROM lag(stamp) OVER (PARTITION BY path ORDER BY at, stamp || chr(31) || digest) AS fresh FROM e WHERE at <= (SELECT mark FROM m)),
 b AS (SELECT path, stamp, digest, at AS since, lead(at) OVER (PARTITION BY path ORDER BY at, stamp || chr(31) || digest) AS next FROM r WHERE fresh),
@@ -31,7 +31,7 @@ def settled_stream(spark, d):
 
 
 @query(f"""
-WITH e AS (SELECT event_type AS key, epoch_ms(ts) AS at_ms, CAST(event_id AS VARCHAR) AS event FROM events),
+WITH e AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS at_ms, CAST(event_id AS VARCHAR) AS event FROM events),
 n AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY at_ms, event) AS seq, count(*) OVER (PARTITION BY key) AS n, event, at_ms FROM e WHERE at_ms <= (SELECT max(at_ms) - {DELAY_MS} FROM e))
 SELECT key, seq, event, at_ms FROM n WHERE seq >= greatest(40, n - 199) AND seq < greatest(40, n - 199) + 30
 """)
