@@ -146,17 +146,25 @@ def unique_place(text: Column, quote: Column, code: Column) -> Column:
     return F.when((F.length(q) > 0) & (first > 0) & (again == 0), first - 1)
 
 
-def page_spec(spec: Column, most: int = 1_000_000) -> Column:
+def page_ranges(spec: Column) -> Column:
+    """``3-5,7`` as pairs of first and last number; malformed parts are skipped, reversed ranges are empty, numbers begin at 1."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: F.rlike(p, F.lit(r"^\d+(-\d+)?$")))
+    number = lambda p, i: F.split_part(p, F.lit("-"), F.lit(i)).try_cast("bigint")
+    pairs = F.transform(parts, lambda p: F.struct(F.greatest(number(p, 1), F.lit(1)).alias("first"), number(p, -1).alias("last")))
+    return F.filter(pairs, lambda r: r["first"] <= r["last"])
+
+
+def page_spec(spec: Column, pages: Column | None = None) -> Column:
     """``3-5,7`` as sorted distinct positive numbers; malformed parts are skipped, reversed ranges are empty.
 
-    Numbers past ``most``, the bound that keeps a range from filling memory, count as malformed.
+    With ``pages``, the number of pages there are, ranges end there, so that a
+    range holds no more numbers than the document has pages.  Without it a
+    number of any size counts.
     """
-    parts = F.transform(F.split(spec, ","), lambda p: F.trim(p))
-    number = lambda p, i: F.split_part(p, F.lit("-"), F.lit(i)).try_cast("int")
-    one = lambda p: F.when(F.rlike(p, F.lit(r"^\d+$")) & (p.try_cast("int") <= most), F.array(p.try_cast("int")))
-    two = lambda p: F.when(F.rlike(p, F.lit(r"^\d+-\d+$")) & (number(p, 1) <= number(p, 2)) & (number(p, 2) <= most), F.sequence(number(p, 1), number(p, 2), F.lit(1)))
-    lists = F.transform(parts, lambda p: F.coalesce(one(p), two(p), F.array().cast("array<int>")))
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(lists), lambda n: n > 0)))
+    ranges = page_ranges(spec)
+    if pages is not None:
+        ranges = F.filter(F.transform(ranges, lambda r: F.struct(r["first"].alias("first"), F.least(r["last"], pages.cast("bigint")).alias("last"))), lambda r: r["first"] <= r["last"])
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r["first"], r["last"], F.lit(1).cast("bigint"))))))
 
 
 def entity_types(types: Column) -> Column:

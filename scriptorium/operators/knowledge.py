@@ -117,16 +117,18 @@ def without_range(text: Column, owner: Column, tag: str = "source") -> Column:
     return let(r, lambda r: F.when(r.isNull(), text).when(r["fault"].isNull(), F.concat(F.substring(text, F.lit(1), r["start"]), F.substring(text, r["end"] + 1, F.length(text)))))
 
 
-def split_retry(batches: DataFrame, run: Callable[[DataFrame], DataFrame], rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def split_retry(batches: DataFrame, run: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """``(done, failed)`` of ``batches(batch, ord, …)``: ``run`` gives ``(batch, ok)``; batches that fail are halved, in order, and run again until each holds one row.
 
-    A batch's name tells its halves apart (``b/0``, ``b/1``); rows keep their ``ord``.
+    A batch's name tells its halves apart (``b/0``, ``b/1``); rows keep their
+    ``ord``, and those that fail alone the name of their last batch.  A batch of
+    ``n`` rows takes log2 n rounds at most.
     """
     from scriptorium.operators.units import halved
 
     done = failed = None
     left = batches
-    for _ in range(rounds):
+    while True:
         verdict = graph.kept(run(left).select("batch", "ok"))
         joined = left.join(verdict, "batch")
         good = graph.kept(joined.where("ok").drop("ok"))
@@ -141,9 +143,13 @@ def split_retry(batches: DataFrame, run: Callable[[DataFrame], DataFrame], round
 
 
 def cached(work: DataFrame, results: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
-    """``work`` with the result of its content key where ``results(key, result)`` has one, and the distinct keys still to be done."""
+    """``work`` with the result of its content key where ``results(key, result)`` has one, and the distinct keys still to be done.
+
+    Of several results of a key the newest by ``at`` counts, where that column is there, else the greatest.
+    """
     keyed = work.withColumn("key", key)
-    found = keyed.join(results.select("key", "result").dropDuplicates(["key"]), "key", "left")
+    newest = F.max_by("result", "at") if "at" in results.columns else F.max("result")
+    found = keyed.join(results.where("result is not null").groupBy("key").agg(newest.alias("result")), "key", "left")
     return found, found.where("result is null").select("key").distinct()
 
 
@@ -198,11 +204,17 @@ def semantic_key(columns: dict[str, Column]) -> Column:
 
 
 def node_hits(hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Hits ``(doc_id, ord, …)`` with the deepest node around them and how many blocks they lie past its start."""
+    """Hits ``(doc_id, ord, …)`` with the first node, in order of nodes, around them and how many blocks they lie past its start.
+
+    Nodes are numbered by their starts and nest or follow one another, so the
+    first around a block is the one that no other holds.
+    """
     from scriptorium.operators.blocks import node_of_block
 
-    places = node_of_block(hits.select("doc_id", "ord").distinct(), nodes)
-    starts = nodes.select("doc_id", "node", F.col("start").alias("_start"))
+    before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start", "node").rowsBetween(Window.unboundedPreceding, -1))
+    outer = nodes.withColumn("_before", before).where("_before is null or _before <= start").drop("_before")
+    places = node_of_block(hits.select("doc_id", "ord").distinct(), outer)
+    starts = outer.select("doc_id", "node", F.col("start").alias("_start"))
     return hits.join(places, ["doc_id", "ord"], "left").join(starts, ["doc_id", "node"], "left").withColumn("offset", F.col("ord") - F.col("_start")).drop("_start")
 
 

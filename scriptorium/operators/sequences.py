@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators import graph
+
 
 def longest_runs(rows: DataFrame, key: str, order: str, kind: str) -> DataFrame:
     """``(key, kinds, longest)``: distinct kinds and the longest run of one kind. A blank kind breaks runs and never extends one."""
@@ -43,28 +45,20 @@ def preceding_while(rows: DataFrame, key: str, order: str, fits: Column, cost: C
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with ``place``, 1 and up by ``order`` over the whole table.
+    """``rows`` with ``place``, 1 and up by ``order`` over the whole table; rows with a null order come last, equal ones in any order.
 
-    Rows are dealt to ranges of ``order``, numbered within each, and moved up by
-    the sizes of the ranges before it, so that no task holds the whole table.
-    ``order`` must be unique.
+    Rows are sorted in ranges, also those of one value, and written; a row's
+    place in its range moves up by the sizes of the ranges before it, of which there
+    are as many as shuffle partitions.
     """
     spark = rows.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kinds = rows.schema[order].dataType
-    cuts = [b for b in rows.select(order).where(F.col(order).isNotNull()).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)] or [0.5], 10000).alias("c")).first()["c"] or []] if _numeric(kinds) else []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col(order) > F.lit(c)).cast("int")
-    dealt = rows.withColumn("_part", part)
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    by = [F.asc_nulls_last(order), F.col("_tie")]
+    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    held = graph.kept(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
+    # The upper bits of the number are the range, the lower 33 the place in it.
+    parted = held.withColumn("_part", F.shiftright("_at", 33)).withColumn("_own", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    moved = sizes.select("_part", before.alias("_before"))  # a row for each range
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return dealt.withColumn("_own", own).join(F.broadcast(moved), "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
-
-
-def _numeric(kind) -> bool:
-    from pyspark.sql.types import NumericType
-
-    return isinstance(kind, NumericType)
+    moved = sizes.select("_part", before.alias("_before"))
+    return parted.join(F.broadcast(moved), "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_at", "_before")

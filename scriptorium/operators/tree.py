@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators import graph, nesting
+
 #: Fixed value: characters of a preview.
 PREVIEW = 256
 #: Hops along a chain of styles at most.
 STYLE_HOPS = 32
 
 
-def basic_tree(blocks: DataFrame, level: Column, place: Column | None = None, title: Column | None = None, depth: int = 6) -> DataFrame:
+def basic_tree(blocks: DataFrame, level: Column, place: Column | None = None, title: Column | None = None) -> DataFrame:
     """``(doc_id, node, parent, start, end, level, title, preview)`` over blocks ``(doc_id, ord, text)``.
 
     Node 0 is the whole document.  Others begin at the first block, at every
@@ -35,13 +37,10 @@ def basic_tree(blocks: DataFrame, level: Column, place: Column | None = None, ti
         F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.left("text", F.lit(PREVIEW)).alias("text")))), lambda x: x["text"]), "\n"), F.lit(PREVIEW)).alias("preview"),
     )
     total = blocks.groupBy("doc_id").agg((F.max("ord") + 1).cast("int").alias("total"))
-    order = Window.partitionBy("doc_id").orderBy("node")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    near = nodes.join(total, "doc_id")
-    for k in range(1, depth + 1):
-        near = near.withColumn(f"_p{k}", F.max(F.when(F.col("level") < k, F.col("node"))).over(back)).withColumn(f"_e{k}", F.min(F.when(F.col("level") <= k, F.col("start"))).over(ahead))
-    pick = lambda c: F.element_at(F.array(*[F.col(f"_{c}{k}") for k in range(1, depth + 1)]), F.col("level"))
-    inner = near.select("doc_id", "node", F.coalesce(pick("p"), F.lit(0)).cast("int").alias("parent"), F.col("start").cast("int").alias("start"), F.coalesce(pick("e"), "total").cast("int").alias("end"), "level", "title", "preview")
+    around = nesting.nested(nodes, "doc_id", "node", F.col("level"), F.col("start")).select("doc_id", "node", "above", "until")
+    begins_at = nodes.select("doc_id", F.col("node").alias("until"), F.col("start").alias("_until"))
+    near = nodes.join(around, ["doc_id", "node"]).join(begins_at, ["doc_id", "until"], "left").join(total, "doc_id")
+    inner = near.select("doc_id", "node", F.coalesce("above", F.lit(0)).cast("int").alias("parent"), F.col("start").cast("int").alias("start"), F.coalesce("_until", "total").cast("int").alias("end"), "level", "title", "preview")
     none = F.lit(None)
     root = total.select("doc_id", F.lit(0).alias("node"), none.cast("int").alias("parent"), F.lit(0).alias("start"), F.col("total").alias("end"), F.lit(0).alias("level"), none.cast("string").alias("title"), F.lit("").alias("preview"))
     return root.unionByName(inner)
@@ -65,31 +64,38 @@ def node_faults(nodes: DataFrame, totals: DataFrame) -> DataFrame:
     return held.select("doc_id", "node", fault.alias("fault")).where("fault is not null")
 
 
-def preorder(nodes: DataFrame, depth: int = 8) -> DataFrame:
+def preorder(nodes: DataFrame) -> DataFrame:
     """``nodes`` ``(doc_id, node, parent)`` with ``depth`` and ``place``: parents before children, children by node; nodes of no root are left out.
 
-    The path from the root is built level by level, ``depth`` levels at most,
-    and sorted.
+    Each round puts the path of the furthest ancestor known before a node's own
+    and looks as far again, so a chain of ``n`` nodes takes about log2 n rounds, each
+    a written table.  A node holds its path; nodes on a cycle, under one, or under
+    an unknown parent have none to a root.
     """
-    step = nodes.where("parent is null").select("doc_id", "node", F.array("node").alias("path"))
-    found = step
-    edges = nodes.where("parent is not null").select("doc_id", F.col("node").alias("child"), F.col("parent").alias("node"))
-    for _ in range(depth):
-        step = step.join(edges, ["doc_id", "node"]).select("doc_id", F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path"))
-        found = found.unionByName(step)
+    own = nodes.select("doc_id", "node", F.col("parent").alias("up"), F.array("node").alias("path"))
+    done, left = own.where("up is null"), graph.kept(own.where("up is not null"))
+    found = [graph.kept(done)]
+    while left.limit(1).count():
+        known = found[-1] if len(found) == 1 else found[0].unionByName(found[-1])
+        heads = known.select("doc_id", F.col("node").alias("up"), F.lit(None).cast(nodes.schema["parent"].dataType).alias("_next"), F.col("path").alias("_path"))
+        via = left.select("doc_id", F.col("node").alias("up"), F.col("up").alias("_next"), F.col("path").alias("_path"))
+        longer = left.join(heads.unionByName(via), ["doc_id", "up"]).select("doc_id", "node", F.col("_next").alias("up"), F.concat("_path", "path").alias("path"))
+        longer = graph.kept(longer.where(F.size(F.array_distinct("path")) == F.size("path")))
+        found = [known, graph.kept(longer.where("up is null"))]
+        left = longer.where("up is not null")
+    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))
-    return found.select("doc_id", "node", F.size("path").alias("depth"), place.alias("place"))
+    return every.select("doc_id", "node", F.size("path").alias("depth"), place.alias("place"))
 
 
 def style_levels(styles: DataFrame) -> DataFrame:
     """``(style, level)`` of ``styles(style, parent, level)``: a style's own level plus 1, else the nearest one up its chain; cycles and 32 hops end it."""
-    own = styles.select("style", "parent", F.when(F.col("level").between(0, 8), F.col("level") + 1).alias("level"))
-    up = own.select(F.col("style").alias("parent"), F.col("parent").alias("_next"), F.col("level").alias("_level"))
-    # Pointer jumps: after k rounds a style knows the nearest level within 2 ** k hops.
+    own = graph.kept(styles.select("style", "parent", F.when(F.col("level").between(0, 8), F.col("level") + 1).cast("int").alias("level")))
+    # Pointer jumps: after k rounds a style knows the nearest level within 2 ** k hops; each round is written, so that the next reads it twice and no more.
     for _ in range(STYLE_HOPS.bit_length() - 1):
-        own = own.join(up, "parent", "left").select("style", F.col("_next").alias("parent"), F.coalesce("level", "_level").alias("level"))
         up = own.select(F.col("style").alias("parent"), F.col("parent").alias("_next"), F.col("level").alias("_level"))
-    return own.select("style", F.col("level").cast("int").alias("level"))
+        own = graph.kept(own.join(up, "parent", "left").select("style", F.col("_next").alias("parent"), F.coalesce("level", "_level").alias("level")))
+    return own.select("style", "level")
 
 
 def marker_digest(blocks: DataFrame, marker: str) -> DataFrame:

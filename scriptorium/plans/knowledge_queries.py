@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import blocks, knowledge, search
 from scriptorium.plans.catalogue import LINES
 from scriptorium.plans.registry import query
+from scriptorium.plans.source_queries import _TREE, _tree
 from scriptorium.sources import table
 
 
@@ -161,14 +162,14 @@ def unit_faults(spark, d):
 
 
 @query(f"""
-WITH {LINES}, h AS (SELECT doc_id, ord FROM line WHERE contains(replace(lower(text), 'ß', 'ss'), 'sse')), b AS (SELECT doc_id, ord FROM line WHERE ord = 0 OR length(text) < 40)
-SELECT doc_id, ord, (SELECT CAST(count(*) AS INTEGER) FROM b WHERE b.doc_id = h.doc_id AND b.ord <= h.ord) AS node, ord - (SELECT max(ord) FROM b WHERE b.doc_id = h.doc_id AND b.ord <= h.ord) AS "offset" FROM h
+WITH {_TREE}, hit AS (SELECT doc_id, ord FROM line WHERE contains(replace(lower(text), 'ß', 'ss'), 'sse')), first AS (SELECT hit.doc_id, hit.ord, min(node) AS node FROM hit JOIN tree t ON t.doc_id = hit.doc_id AND t.node > 0 AND hit.ord >= t.start AND hit.ord < t."end" GROUP BY ALL)
+SELECT doc_id, ord, CAST(node AS INTEGER) AS node, CAST(ord - start AS INTEGER) AS "offset" FROM first JOIN tree USING (doc_id, node)
 """)
 def hit_places(spark, d):
-    """Hits of a literal with their node and how far they lie in it."""
+    """Hits of a literal with the first of the nested nodes around them and how far they lie in it."""
     rows = blocks.line_blocks(_docs(spark, d))
     hits = search.literal_hits(rows, "ßE").select("doc_id", "ord")
-    return knowledge.node_hits(hits, blocks.navigation_nodes(rows, F.length("text") < 40)).select("doc_id", "ord", "node", "offset")
+    return knowledge.node_hits(hits, _tree(spark, d).where("node > 0")).select("doc_id", "ord", "node", "offset")
 
 
 @query("SELECT 's' || doc_id AS source_id, 'v' || doc_id AS version_id, 'p' || doc_id AS parse_id, 't' || doc_id AS tree_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0")

@@ -37,7 +37,7 @@ path AS (SELECT *, concat_ws(',', p1, CASE WHEN p2 > coalesce(p1, -1) THEN p2 EN
 @query(f"WITH {_HEADS} SELECT doc_id, ord, open FROM path")
 def heading_paths(spark, d):
     """The open headings above each line."""
-    return units.heading_paths(_lines(spark, d), _level(), F.col("text"), 3).select("doc_id", "ord", F.array_join("heading_ords", ",").alias("open"))
+    return units.heading_paths(_lines(spark, d), _level(), F.col("text")).select("doc_id", "ord", F.array_join("heading_ords", ",").alias("open"))
 
 
 @query(f"""
@@ -136,7 +136,7 @@ tree AS (SELECT doc_id, 0 AS node, CAST(NULL AS BIGINT) AS parent, 0 AS start, m
 
 
 def _tree(spark, d) -> DataFrame:
-    return tree.basic_tree(_lines(spark, d), _level(), depth=3)
+    return tree.basic_tree(_lines(spark, d), _level())
 
 
 @query(f"WITH {_TREE} SELECT doc_id, node, CAST(parent AS INTEGER) AS parent, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", CAST(level AS INTEGER) AS level FROM tree")
@@ -165,7 +165,7 @@ SELECT doc_id, node, depth, node + 1 AS place FROM walk
 """)
 def tree_preorder(spark, d):
     """Depth and place of each node in a walk; nodes are numbered by start, which is that order."""
-    return tree.preorder(_tree(spark, d), 4).select("doc_id", "node", "depth", "place")
+    return tree.preorder(_tree(spark, d)).select("doc_id", "node", "depth", "place")
 
 
 @query("""

@@ -17,10 +17,10 @@ def _files(e):
 
 
 @query(f"""
-WITH e AS (SELECT 'u' || user_id AS path, epoch_us(ts) // 1000 AS at, event_type AS stamp, CAST(((CAST(floor(value) AS BIGINT) % 3) + 3) % 3 AS VARCHAR) AS digest FROM events),
-m AS (SELECT max(at) - {DELAY_MS} AS mark FROM e),
-r AS (SELECT *, stamp IS DISTINCT FROM lag(stamp) OVER (PARTITION BY path ORDER BY at, stamp || chr(31) || digest) AS fresh FROM e WHERE at <= (SELECT mark FROM m)),
-b AS (SELECT path, stamp, digest, at AS since, lead(at) OVER (PARTITION BY path ORDER BY at, stamp || chr(31) || digest) AS next FROM r WHERE fresh),
+WITH e AS (SELECT 'u' || user_id AS path, epoch_us(ts) // 1000 AS ms, event_type AS stamp, CAST(((CAST(floor(value) AS BIGINT) % 3) + 3) % 3 AS VARCHAR) AS digest FROM events),
+m AS (SELECT max(ms) - {DELAY_MS} AS mark FROM e),
+r AS (SELECT *, stamp IS DISTINCT FROM lag(stamp) OVER (PARTITION BY path ORDER BY ms, stamp || chr(31) || digest) AS fresh FROM e WHERE ms <= (SELECT mark FROM m)),
+b AS (SELECT path, stamp, digest, ms AS since, lead(ms) OVER (PARTITION BY path ORDER BY ms, stamp || chr(31) || digest) AS next FROM r WHERE fresh),
 s AS (SELECT path, stamp, digest, since + {SETTLED_MS} AS settled_ms FROM b, m WHERE since + {SETTLED_MS} < coalesce(next, mark + 1)),
 t AS (SELECT *, digest IS DISTINCT FROM lag(digest) OVER (PARTITION BY path ORDER BY settled_ms) AS told FROM s)
 SELECT path, stamp, digest, settled_ms FROM t WHERE told

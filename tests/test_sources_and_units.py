@@ -26,7 +26,8 @@ def column(spark, values, f, kind="string"):
 def test_names(spark):
     assert column(spark, ["Ａ_B", "ﬁ--x/-Y-", None], T.normal_target) == ["a-b", "fi-x/y", None]
     assert column(spark, ["STRAẞE", "ΣΑΣ", "ﬀ", "Abc"], T.folded) == ["STRAẞE".casefold(), "ΣΑΣ".casefold(), "ff", "abc"]
-    assert column(spark, ["99999999999,3", "2-4,4-2,1", None], T.page_spec) == [[3], [1, 2, 3, 4], None]
+    assert column(spark, ["99999999999,3,x,99999999999999999999", "2-4,4-2,1", None], T.page_spec) == [[3, 99999999999], [1, 2, 3, 4], None]
+    assert column(spark, ["2-99999999999,9"], lambda c: T.page_spec(c, F.lit(4))) == [[2, 3, 4]]
     assert column(spark, ["Plan [copy].pdf", "a/Plan-copy-2.md", "copy of.pdf", "Copy Of Plan（副本）", "Plan copying"], T.document_label) == ["Plan", "Plan", "copy of", "Plan", "Plan copying"]
     assert column(spark, ["a%20b+c.PDF", "..pdf", "x" * 90, "(1).pdf"], lambda c: T.file_name(c, ".pdf")) == ["a-b-c.pdf", "document.pdf", "x" * 80 + ".pdf", "1.pdf"]
     heads = ["a; filename*=UTF-8''x%20y.pdf; filename=\"z\"", 'filename="q r.pdf"', "filename=b.pdf; x", "inline"]
