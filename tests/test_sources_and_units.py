@@ -188,20 +188,53 @@ def test_units(spark):
     vocabulary = ["report", "first", "long", "results", "other", "words", "here"]
     texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 200)))) for i in range(20)]
     topic, allowance = "First results of the report", 300
-    want = []
-    for i, t in texts:
-        chunks = [(a, t[a : a + allowance]) for a in range(0, len(t), allowance)]
-        if len(t) <= allowance:
-            want.append((i, 0, len(t)))
-            continue
-        taken = []
-        for a, c in sorted(chunks, key=lambda x: (-sum(w in x[1].casefold() for w in units.topic_words(topic)), x[0])):
-            view = "\n\n".join(f"[Existing characters {b}:{b + len(d)}]\n{d}" for b, d in sorted([*taken, (a, c)]))
-            if len(view) <= allowance:
-                taken.append((a, c))
-        want += [(i, a, a + len(c)) for a, c in sorted(taken)]
-    got = units.existing_windows(spark.createDataFrame(texts, "id long, text string"), topic, allowance)
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    frame = spark.createDataFrame([*texts, (99, None), (98, "ẞhort")], "id long, text string")
+    for count in (units.characters, stub_tokens):
+        got = {}
+        for r in units.existing_windows(frame, topic, allowance, count).collect():
+            got.setdefault(r["id"], []).append((r["start"], r["end"]))
+        for i, t in [*texts, (98, "ẞhort")]:
+            assert sorted(got.get(i, [])) == windows_of(t, topic, allowance, count), i
+        assert 99 not in got
+
+
+def token_stub():
+    """Counts that don't add up: a token for three characters, and one for each word or part of one. Made here, so that it goes to the workers by value."""
+    return lambda texts: [-(-len(t) // 3) + len(t.split()) for t in texts]
+
+
+stub_tokens = token_stub()
+
+
+def windows_of(text, topic, allowance, count):
+    """What a reader gets who asks for the best chunk again and again until none is left."""
+    if count([text])[0] <= allowance:
+        return [(0, len(text))]
+    left = {a: text[a : a + allowance] for a in range(0, len(text), allowance)}
+    score = lambda a: sum(w in left[a].casefold() for w in set(topic.casefold().split()))
+    view = []
+    while left:
+        best = min(left, key=lambda a: (-score(a), a))
+        more = sorted([*view, (best, left.pop(best))])
+        if count(["\n\n".join(f"[Existing characters {a}:{a + len(c)}]\n{c}" for a, c in more)])[0] <= allowance:
+            view = more
+    return [(a, a + len(c)) for a, c in view]
+
+
+def test_spans_by_tokens(spark):
+    rng = random.Random(12)
+    texts = ["", "a", "word " * 400, "\n" * 50, None, *["".join(rng.choice(["ab ", "c", "\n", "dé "]) for _ in range(rng.randrange(900))) for _ in range(20)]]
+    for limit in (1, 2, 17, 120):
+        for t, spans in zip(texts, column(spark, texts, lambda c, limit=limit: units.token_spans(limit, stub_tokens)(c)), strict=True):
+            want, at = [], 0
+            while t is not None and at < len(t):
+                fit = [n for n in range(1, len(t) - at + 1) if stub_tokens([t[at : at + n]])[0] <= limit]
+                size = max(fit, default=1)
+                line = t.rfind("\n", at, at + size) - at if at + size < len(t) else -1
+                size = line + 1 if line > size // 2 else size
+                want.append((at, at + size, bool(fit)))
+                at += size
+            assert (spans is None and t is None) or [tuple(x) for x in spans] == want
 
 
 def test_title_passages(spark):
