@@ -8,7 +8,6 @@ others together, so the table of cells has a size that the targets fix.
 
 from __future__ import annotations
 
-import itertools
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -156,7 +155,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], columns: dict[str
     Beside each document stand the share of tokens that is the goal of its value
     of each margin and the share that the expected copies reach, which is lower
     only for a target that the limit of copies makes infeasible.  Null values of a margin count as
-    ``(other)``, which is drawn like a named value; a null id draws like any id; documents without tokens carry no
+    ``(other)``, which is drawn like a named value; rows without an id draw each for
+    themselves; documents without tokens carry no
     mass and are taken like their cell.  An empty table gives an
     empty result.  The table of cells (at most the product of the numbers of
     named values plus one) is all that reaches the driver.
@@ -181,14 +181,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], columns: dict[str
     schema = ", ".join(f"mix_{m} string" for m in names) + ", mix_weight double, mix_expected double" + "".join(f", mix_{m}_goal double, mix_{m}_share double" for m in names)
     told = lambda k: [x for m, v in enumerate(k) for x in (wanted[m].get(v, 0.0), got[m][v])]
     known = docs.sparkSession.createDataFrame([(*k, float(weights[k]), float(copies[k]), *told(k)) for k in cells], schema)
-    drawn = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11)).cast("double") / float(1 << 53)
+    # A row without an id draws by its content and its place in the input, so that such rows don't share one fate.
+    content = [c for c, kind in docs.dtypes if not kind.startswith(("map", "struct", "array", "variant"))]
+    ticket = F.when(F.col(id_col).isNull(), F.xxhash64(*content, F.monotonically_increasing_id(), F.lit(seed))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed)))
+    drawn = F.shiftrightunsigned(ticket, 11).cast("double") / float(1 << 53)
     out = keyed.withColumn("mix_draw", drawn).join(F.broadcast(known), [f"mix_{m}" for m in names], "left")
     whole = F.floor("mix_expected")
     out = out.withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_expected")))
     out = out.withColumn("mix_copies", (whole + F.when(F.col("mix_draw") < F.col("mix_expected") - whole, 1).otherwise(0)).cast("int"))
     return out.withColumn("mix_kept", F.col("mix_copies") > 0).drop("mix_draw")
-
-
-def cell_keys(margins: list[dict[str, float]]) -> list[tuple]:
-    """Every cell that the targets allow."""
-    return list(itertools.product(*[[*m, OTHER] for m in margins]))

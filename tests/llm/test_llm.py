@@ -420,3 +420,24 @@ def test_pipeline_stage_by_stage(spark):
         seen = out
     assert p.STAGES[-1][1](spark, seen, sf).count() == seen.count()
     assert p.run(spark, sf).count() == seen.count()
+
+
+def test_mixing_rows_without_ids_draw_for_themselves(spark):
+    rows = [(None, "same text here", "a")] * 500 + [(None, f"text {i} here", "a") for i in range(500)] + [(7, "same text here", "a")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mix_source", F.lit("clash"))
+    out = mixing.mix(df, {"source": {"a": 1.0}}, {"source": F.col("source")}, mixing.token_count(F.col("text")), 0.5).collect()
+    for part in (out[:500], out[500:1000]):
+        assert 150 < sum(r["mix_copies"] for r in part) < 350
+    assert len({r["mix_copies"] for r in out[1000:]}) == 1, "rows of one id share their fate"
+
+
+def test_pipeline_keeps_rows_not_ids(spark):
+    """A near copy goes though another text has its id; ids before nulls; repeated rows stay once."""
+    import corpus_pipeline as p
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, b), (5, a), (5, b + " more"), (5, a), (None, a + " more"), (None, "c d"), (6, None), (6, None), (2, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 0, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in p.jaccard_stage(spark, df, "").collect()), key=repr)
+    assert kept == sorted([(3, b), (5, a), (None, "c d"), (6, None), (2, "")], key=repr)
+    assert p.jaccard_stage(spark, df.limit(0), "").count() == 0
