@@ -28,17 +28,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id; wordless documents stay, and ids come before nulls."""
-    keyed, key = docs, "doc_id"
-    if docs.where("doc_id is null").limit(1).count():
-        key = "row_key"
-        last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-        keyed = materialize(docs.select(*COLUMNS, F.coalesce("doc_id", F.monotonically_increasing_id() + F.lit(last + 1)).alias(key)), "keyed")
-    groups = jaccard_join.jaccard_components(keyed, key, "text", num=80, den=100)
-    firsts = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = keyed.join(firsts, keyed[key] == firsts["first_id"], "left_semi").select(*COLUMNS)
-    # Rows that repeat an id are copies of one document.
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Keeps of each group of near duplicates the row with the smallest id; ids come before nulls.
+
+    Wordless documents stay.  Where ids repeat or are null, rows are told apart by
+    a key of their own: two texts of one id are two documents, and rows that
+    repeat id and text are one.
+    """
+    rows = docs.select(*COLUMNS)
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not repeated:
+        groups = jaccard_join.jaccard_components(rows, "doc_id", "text", num=80, den=100)
+        firsts = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id"))
+        return rows.join(firsts, F.col("doc_id") == F.col("first_id"), "left_semi")
+    keyed = materialize(rows.dropDuplicates(["doc_id", "text"]).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    groups = jaccard_join.jaccard_components(keyed, "row_key", "text", num=80, den=100).select(F.col("doc_id").alias("row_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("row_key"))
+    met = keyed.select("doc_id", "row_key").join(groups, "row_key")
+    firsts = met.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("first_key"))
+    return keyed.join(firsts, F.col("row_key") == F.col("first_key"), "left_semi").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
