@@ -62,17 +62,24 @@ def _local(k: int):
     def run(batches):
         seen: list[np.ndarray] = []
         held = 0
-        again: dict[int, int] = {}
+        grams, counts = np.zeros(0, U64), np.zeros(0, np.int64)  # those met at least twice in one fold, sorted
 
         def fold():
-            nonlocal held
+            nonlocal held, grams, counts
             if seen:
-                values, counts = np.unique(np.concatenate(seen), return_counts=True)
-                twice = counts > 1
-                for v, c in zip(values[twice].tolist(), counts[twice].tolist(), strict=True):
-                    again[v] = again.get(v, 0) + c
+                met = np.concatenate(seen)
                 seen.clear()
                 held = 0
+                met.sort()
+                first = np.flatnonzero(np.r_[True, met[1:] != met[:-1]])
+                width = np.diff(first, append=len(met))
+                twice = width > 1
+                both, added = np.concatenate([grams, met[first[twice]]]), np.concatenate([counts, width[twice]])
+                del met
+                by = np.argsort(both, kind="stable")
+                both, added = both[by], added[by]
+                first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+                grams, counts = both[first], np.add.reduceat(added, first) if len(first) else added
 
         for batch in batches:
             sizes, signs = [], []
@@ -87,11 +94,9 @@ def _local(k: int):
             n = len(sizes)
             yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "n", "sig", "gram", "count"])
         fold()
-        grams = np.fromiter(again.keys(), U64, len(again)).view(np.int64)
-        counts = np.fromiter(again.values(), np.int64, len(again))
         for i in range(0, len(grams), 50_000):
             part = len(grams[i : i + 50_000])
-            yield pa.record_batch([pa.nulls(part, pa.int64()), pa.nulls(part, pa.int64()), pa.nulls(part, pa.int64()), pa.array(grams[i : i + 50_000]), pa.array(counts[i : i + 50_000])], names=["id", "n", "sig", "gram", "count"])
+            yield pa.record_batch([pa.nulls(part, pa.int64()), pa.nulls(part, pa.int64()), pa.nulls(part, pa.int64()), pa.array(grams[i : i + 50_000].view(np.int64)), pa.array(counts[i : i + 50_000])], names=["id", "n", "sig", "gram", "count"])
 
     return run
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes handled at once; a longer text is handled alone.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 _ODD = U64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
