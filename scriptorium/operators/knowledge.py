@@ -55,6 +55,72 @@ def members_conserved(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where("n_before <> n_after")
 
 
+def _suffixed(members: Column, turn: int) -> Column:
+    """The start of a hash of a group's members, and of the turn from the second on."""
+    listed = F.to_json(F.array_sort(members))
+    return F.substring(F.sha2(listed if turn == 0 else F.concat(F.lit("["), listed, F.lit(f",{turn}]")), 256), 1, 12)
+
+
+def settled_paths(groups: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``groups(path, name, members)`` with paths of their own.
+
+    Of groups that share a path the one with the least members keeps it; each
+    other one's name gets a hash of its members.  Those whose new path another
+    group or an ``existing(path)`` page has try the next hash, round by round,
+    each a written table, until no path is asked for twice.  Groups with the same
+    members in full are told apart by their place.
+    """
+    key = F.to_json(F.array_sort("members"))
+    rows = graph.kept(groups.select("path", "name", "members", key.alias("_key")).withColumn("_tie", F.monotonically_increasing_id()))
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("_key", "_tie"))
+    dealt = graph.kept(rows.withColumn("_rank", rank))
+    placed, open_ = dealt.where("_rank = 1").drop("_rank"), dealt.where("_rank > 1").drop("_rank")
+    pages = existing.select("path").distinct() if existing is not None else None
+    turn = 0
+    while open_.limit(1).count():
+        name = F.concat(F.left("name", F.lit(100)), F.lit("-"), _suffixed(F.col("members"), turn))
+        asked = open_.withColumn("_name", name).withColumn("_path", F.concat(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/"), "_name"))
+        taken = placed.select(F.col("path").alias("_path"))
+        taken = taken if pages is None else taken.union(pages.select(F.col("path").alias("_path")))
+        ranked = asked.withColumn("_rank", F.row_number().over(Window.partitionBy("_path").orderBy("_key", "_tie")))
+        free = ranked.join(taken.distinct().withColumn("_taken", F.lit(True)), "_path", "left").withColumn("_won", F.col("_taken").isNull() & (F.col("_rank") == 1))
+        told = graph.kept(free)
+        won = told.where("_won").select(F.col("_path").alias("path"), F.col("_name").alias("name"), "members", "_key", "_tie")
+        placed = graph.kept(placed.select("path", "name", "members", "_key", "_tie").unionByName(won))
+        open_ = told.where("not _won").select("path", "name", "members", "_key", "_tie")
+        turn += 1
+    return placed.select("path", "name", "members")
+
+
+def reconciled(groups: DataFrame, most: int, resolve: Callable[[DataFrame], DataFrame], existing: DataFrame | None = None) -> DataFrame:
+    """``(path, name, members)``: groups ``(group, path, name, labels, members)`` after those that may be one topic have been compared.
+
+    Groups that share their path or a label, directly or through others, form a
+    cluster; a cluster of several goes in order of path to ``resolve`` in windows of
+    at most ``most`` members.  ``resolve`` gets rows ``(cluster, window, group, path,
+    name, members)`` and gives ``(cluster, window, path, name, members)`` for the
+    windows it can decide; the groups of other windows, and of windows of one
+    group, stay as they are.  Paths that then collide are told apart.  Raises
+    unless every member is there as often as before.
+    """
+    rows = graph.kept(groups.select("group", "path", "name", "labels", "members"))
+    marks = rows.select("group", F.array_append(F.coalesce(F.col("labels"), F.array().cast("array<string>")), F.concat(F.lit("\u001f"), F.col("path"))).alias("labels"))
+    marks = marks.select("group", F.transform("labels", lambda x: F.regexp_replace(x, r"\s+", " ")).alias("labels"))
+    clusters = label_clusters(marks)
+    windows = candidate_windows(rows, clusters, most)
+    placed = graph.kept(rows.join(windows, "group", "left").select("cluster", "window", "group", "path", "name", "members"))
+    several = placed.where("cluster is not null").groupBy("cluster", "window").agg(F.count("*").alias("n")).where("n > 1").select("cluster", "window")
+    asked = placed.join(several, ["cluster", "window"], "left_semi")
+    answers = graph.kept(resolve(asked).select("cluster", "window", "path", "name", "members"))
+    done = answers.select("cluster", "window").distinct()
+    same = placed.join(done, (placed.cluster == done.cluster) & (placed.window == done.window), "left_anti")
+    after = graph.kept(settled_paths(same.select("path", "name", "members").unionByName(answers.select("path", "name", "members")), existing))
+    lost = members_conserved(rows, after).limit(1).collect()
+    if lost:
+        raise ValueError(f"member {lost[0]['member']} was held {lost[0]['n_before']} times and is now held {lost[0]['n_after']} times")
+    return after
+
+
 def section(lines: Column, heading: str) -> Column:
     """``(start, end)`` of the lines under the second-level heading, up to the next one; null without it."""
     heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.rtrim(x).alias("head"))), lambda h: F.startswith(h["head"], F.lit("## ")))

@@ -34,19 +34,32 @@ def topic_clusters(spark, d):
 
 
 @query("""
-WITH g AS (SELECT doc_id AS "group", doc_id // 7 AS cluster, 'concepts/p' || (doc_id % 9) AS path, doc_id % 4 + 1 AS n FROM documents),
-c AS (SELECT * FROM g WHERE cluster IN (SELECT cluster FROM g GROUP BY cluster HAVING count(*) > 1)),
-o AS (SELECT *, sum(n) OVER (PARTITION BY cluster ORDER BY path, "group") AS upto, row_number() OVER (PARTITION BY cluster ORDER BY path, "group") AS k FROM c)
-SELECT cluster, "group", CAST(k AS INTEGER) AS place FROM o WHERE upto <= 6
+WITH RECURSIVE g AS (SELECT doc_id AS "group", doc_id // 7 AS cluster, 'concepts/p' || (doc_id % 9) AS path, doc_id % 4 + 1 AS n FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY path, "group") AS k FROM g WHERE cluster IN (SELECT cluster FROM g GROUP BY cluster HAVING count(*) > 1)),
+f AS (SELECT cluster, "group", k, n AS total, 0 AS w FROM o WHERE k = 1
+  UNION ALL SELECT o.cluster, o."group", o.k, CASE WHEN f.total + o.n > 6 THEN o.n ELSE f.total + o.n END, CASE WHEN f.total + o.n > 6 THEN f.w + 1 ELSE f.w END FROM f JOIN o ON o.cluster = f.cluster AND o.k = f.k + 1)
+SELECT cluster, "group", CAST(w AS INTEGER) AS "window" FROM f
 """)
 def candidate_windows(spark, d):
-    """The first window of each cluster of seven, in order."""
+    """The windows of each cluster of seven, in order."""
     groups = _groups(spark, d)
     clusters = groups.select("group", F.floor(F.col("group") / 7).alias("cluster"))
-    made = knowledge.candidate_windows(groups, clusters, 6).where("window = 0").join(groups.select("group", "path"), "group")
-    from pyspark.sql import Window
+    return knowledge.candidate_windows(groups, clusters, 6).select("cluster", "group", "window")
 
-    return made.select("cluster", "group", F.row_number().over(Window.partitionBy("cluster").orderBy("path", "group")).alias("place"))
+
+@query()
+def reconciled_topics(spark, d):
+    """Topics of the documents' first words that share a label or a path, merged within windows of twelve members; a plain version says the same in the tests."""
+    docs = _docs(spark, d).where("text is not null")
+    head = F.lower(F.regexp_extract("text", r"(\w+)", 1))
+    groups = docs.select(F.col("doc_id").alias("group"), F.concat(F.lit("concepts/"), head).alias("path"), head.alias("name"), F.array(F.concat_ws(" ", head, "lang")).alias("labels"), F.array(_id("m")).alias("members"))
+
+    def merged(rows):
+        """Windows of one path become one group; others can't be decided."""
+        one = rows.groupBy("cluster", "window").agg(F.min("path").alias("path"), F.max("path").alias("last"), F.min("name").alias("name"), F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
+        return one.where("path = last")
+
+    return knowledge.reconciled(groups, 12, merged).select("path", "name", F.size("members").alias("n"), F.sha2(F.array_join(F.array_sort("members"), ","), 256).alias("digest"))
 
 
 @query("SELECT 'm' || doc_id || '-' || 0 AS member, 1 AS n_before, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS n_after FROM documents WHERE doc_id % 5 < 2")
