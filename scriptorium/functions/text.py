@@ -159,7 +159,7 @@ def page_spec(spec: Column, pages: Column | None = None) -> Column:
 
     With ``pages``, the number of pages there are, ranges end there, so that a
     range holds no more numbers than the document has pages.  Without it a
-    number of any size counts.
+    number of any size counts, and a range too long for one array raises; ``page_ranges`` lists none.
     """
     ranges = page_ranges(spec)
     if pages is not None:

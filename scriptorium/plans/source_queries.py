@@ -207,7 +207,7 @@ def page_contents(spark, d):
     """The pages ``2-4,7`` of each document with their images."""
     images = F.when(F.col("ord") % 2 == 0, F.array(F.concat(F.lit("i"), F.col("ord").cast("string"), F.lit(".png")))).otherwise(F.array().cast("array<string>"))
     made = _lines(spark, d).select("doc_id", (F.col("ord") + 1).alias("page"), F.col("text").alias("content"), images.alias("images"))
-    return office.page_contents(made, T.page_spec(F.lit("2-4,7"))).select("doc_id", F.sha2("text", 256).alias("digest"))
+    return office.page_contents(made, T.page_ranges(F.lit("2-4,7"))).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
 @query("""

@@ -307,10 +307,10 @@ def document_text(contents: DataFrame) -> DataFrame:
 
 
 def page_contents(contents: DataFrame, wanted: Column) -> DataFrame:
-    """``(doc_id, text)``: the pages of ``(doc_id, page, content, images)`` that are in ``wanted`` (an array of numbers), each under its mark and with its images."""
+    """``(doc_id, text)``: the pages of ``(doc_id, page, content, images)`` that are in ``wanted`` (ranges, as ``page_ranges`` gives), each under its mark and with its images."""
     shown = F.concat_ws("\n", F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("]")), "content", F.when(F.size("images") > 0, F.concat(F.lit("Images: "), F.array_join("images", ", "))))
     rows = F.array_sort(F.collect_list(F.struct("page", shown.alias("t"))))
-    return contents.where(F.array_contains(wanted, F.col("page"))).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("text"))
+    return contents.where(F.exists(wanted, lambda r: F.col("page").between(r["first"], r["last"]))).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("text"))
 
 
 def binding_lookup(bindings: DataFrame, **keys: str | None) -> DataFrame:
