@@ -256,14 +256,14 @@ def source_links(spark, d):
 
 
 @query("""
-SELECT page_id, regexp_replace(lower(slug), '^-+|-+$', '', 'g') AS slug FROM (SELECT page_id, substring(trim(regexp_replace(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS slug FROM pages) WHERE slug <> '' AND NOT ends_with(slug, '-')
+WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages), s AS (SELECT page_id, title, substring(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS slug FROM t)
+SELECT page_id, CASE WHEN slug = '' THEN substring(sha256(title), 1, 12) ELSE slug END AS slug FROM s
 """)
 def title_slugs(spark, d):
-    """File names of pages by their titles; names that a cut leaves with a hyphen are left to the tests."""
+    """File names of all pages by their titles, cut names and titles without letters too."""
     from scriptorium.sources.pages import extracted
 
-    made = extracted(table(spark, d, "pages")).where(F.rlike("title", F.lit("[A-Za-z0-9]"))).select("page_id", md.slug(F.col("title")).alias("slug"))
-    return made.where(~F.endswith("slug", F.lit("-")))
+    return extracted(table(spark, d, "pages")).select("page_id", md.slug(F.col("title")).alias("slug"))
 
 
 @query(r"""
