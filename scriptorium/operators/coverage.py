@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 _RANGES = "array<struct<start:bigint,end:bigint,status:string>>"
+#: What is known of a place that was read.
+STATUSES = ("verified", "no_facts", "pending")
+#: Places in one bin: rows of a long document are dealt by bin, so that no task holds all of them.
+BIN = 4096
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -52,6 +56,57 @@ def window_coverage(ranges: DataFrame, windows: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "status").agg(F.sum(F.least("end", "we") - F.greatest("start", "ws")).cast("long").alias("chars"))
 
 
+def known_windows(ranges: DataFrame, windows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``(*keys, start, end, status, verified, no_facts, pending, unknown)`` for each row of ``windows(*keys, start, end)``.
+
+    The characters of a window by the status of ``ranges(*keys, start, end, status)``, and how many nothing is
+    said about.  ``status`` is ``unknown`` where characters are unknown or counted more than once (``unknown`` is
+    negative then), else ``pending`` if any are, else ``complete``.  A window without an end or without a
+    positive length is ``unknown`` with null counts; a null start is 0.  Ranges without length or of another
+    status say nothing; a null key matches nothing.  Repeated windows stay, repeated ranges count again.  Only
+    the named columns are read.
+
+    The covered length up to a place is a running sum over the starts and ends of ranges, so a window is the
+    difference of two places and never meets the ranges themselves.
+    """
+    keys = keys or ["doc_id"]
+    place = lambda c: F.col(c).cast("long")
+    asked = windows.select(*keys, F.coalesce(place("start"), F.lit(0)).alias("start"), place("end").alias("end"))
+    said = ranges.where(F.col("status").isin(*STATUSES)).select(*keys, place("start").alias("start"), place("end").alias("end"), "status").where("start < end")
+    edge = lambda c, d: F.struct(F.col(c).alias("at"), F.lit(d).cast("long").alias("d"))
+    edges = said.select(*keys, "status", F.explode(F.array(edge("start", 1), edge("end", -1))).alias("e")).select(*keys, "status", "e.*")
+    places = asked.where("start < end").select(*keys, F.explode(F.array("start", "end")).alias("at")).select(*keys, F.lit(None).cast("string").alias("status"), "at", F.lit(0).cast("long").alias("d"))
+    sums = [f"{kind}_{s}" for s in STATUSES for kind in ("n", "m")]
+    summed = [F.coalesce(F.sum(F.when(F.col("status") == s, F.col("d") * (F.col("at") if kind == "m" else 1))), F.lit(0)).alias(f"{kind}_{s}") for s in STATUSES for kind in ("n", "m")]
+    points = edges.unionByName(places).groupBy(*keys, "at").agg(*summed).withColumn("bin", F.floor(F.col("at") / BIN))
+    earlier = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = points.groupBy(*keys, "bin").agg(*[F.sum(c).alias(c) for c in sums]).select(*keys, "bin", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b_{c}") for c in sums])
+    within = Window.partitionBy(*keys, "bin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    running = points.select(*keys, "bin", "at", *[F.sum(c).over(within).alias(c) for c in sums]).join(bins, [*keys, "bin"])
+    covered = [(F.col("at") * (F.col(f"n_{s}") + F.col(f"b_n_{s}")) - F.col(f"m_{s}") - F.col(f"b_m_{s}")).alias(s) for s in STATUSES]
+    at = running.select(*keys, "at", F.struct(*covered).alias("to"))
+    met = asked.join(at.select(*keys, F.col("at").alias("start"), F.col("to").alias("_a")), [*keys, "start"], "left")
+    met = met.join(at.select(*keys, F.col("at").alias("end"), F.col("to").alias("_b")), [*keys, "end"], "left")
+    sized = F.coalesce(F.col("start") < F.col("end"), F.lit(False))
+    counted = met.select(*keys, "start", "end", *[F.when(sized, F.coalesce(F.col(f"_b.{s}") - F.col(f"_a.{s}"), F.lit(0))).alias(s) for s in STATUSES])
+    counted = counted.withColumn("unknown", F.col("end") - F.col("start") - F.col("verified") - F.col("no_facts") - F.col("pending"))
+    state = F.when(~sized | (F.col("unknown") != 0), "unknown").when(F.col("pending") > 0, "pending").otherwise("complete")
+    return counted.select(*keys, "start", "end", state.alias("status"), *STATUSES, "unknown")
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``left(*keys, start, end, …)`` and ``right(*keys, start, end, …)`` that share places, ``start`` and ``end`` being the shared ones.
+
+    Both sides are dealt by key and bin, and a pair is met in the bin in which its shared part begins, once.  Rows
+    without length or with a null share nothing.  Other columns come along and must differ in name.
+    """
+    one = left.withColumnsRenamed({"start": "_s1", "end": "_e1"}).where("_s1 < _e1").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s1") / BIN), F.floor((F.col("_e1") - 1) / BIN))))
+    two = right.withColumnsRenamed({"start": "_s2", "end": "_e2"}).where("_s2 < _e2").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s2") / BIN), F.floor((F.col("_e2") - 1) / BIN))))
+    start, end = F.greatest("_s1", "_s2"), F.least("_e1", "_e2")
+    met = one.join(two, [*keys, "_bin"]).where((start < end) & (F.floor(start / BIN) == F.col("_bin")))
+    return met.withColumns({"start": start, "end": end}).drop("_s1", "_e1", "_s2", "_e2", "_bin")
+
+
 def valid_cover(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     """``(doc_id, contiguous, complete)``: ranges join up from 0 to the block's end; complete if nothing is pending."""
     by = Window.partitionBy("doc_id").orderBy("start", "end")

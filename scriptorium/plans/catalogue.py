@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import blocks, coverage, graph, links, search, sequences, store, usage
+from scriptorium.operators import blocks, coverage, graph, issues, links, search, sequences, store, usage
 from scriptorium.plans.registry import SQL as _SQL
 from scriptorium.plans.registry import query as _query
 from scriptorium.sources import pages as page_source
@@ -263,6 +263,46 @@ def coverage_window(spark, d):
     return coverage.window_coverage(coverage.coverage_ranges(*_half_lines(spark, d)), windows)
 
 
+_COUNTED = ", ".join(f"""CAST(coalesce(sum(least(u."end", w."end") - greatest(u.start, w.start)) FILTER (WHERE u.status = '{s}'), 0) AS BIGINT) AS {s}""" for s in coverage.STATUSES)
+
+
+@_query(f"""
+WITH {_COVER}, w AS (SELECT doc_id, ord, start, start + 120 AS "end" FROM line),
+c AS (SELECT w.doc_id, w.ord, w.start, w."end", {_COUNTED} FROM w LEFT JOIN u ON u.doc_id = w.doc_id AND u.start < w."end" AND w.start < u."end" GROUP BY ALL),
+k AS (SELECT *, "end" - start - verified - no_facts - pending AS unknown FROM c)
+SELECT doc_id, start, "end", CASE WHEN unknown <> 0 THEN 'unknown' WHEN pending > 0 THEN 'pending' ELSE 'complete' END AS status, verified, no_facts, pending, unknown FROM k
+""")
+def coverage_known(spark, d):
+    """What is known of the 120 characters from each line on, where only some lines were read."""
+    docs, units = _half_lines(spark, d)
+    windows = blocks.line_blocks(_documents(spark, d)).select("doc_id", "start", (F.col("start") + 120).alias("end"))
+    return coverage.known_windows(units, windows)
+
+
+@_query(f"""
+WITH {_COVER}, p AS (SELECT doc_id, start, "end" FROM cover WHERE status = 'pending'),
+tp AS (SELECT doc_id, split_part(text, ' ', 1) AS topic, greatest(start - 10, 0) AS start, start + length(text) + 10 AS "end" FROM line WHERE ord % 3 = 1),
+o AS (SELECT DISTINCT doc_id, 'planning' AS stage, 'no_path' AS reason, sha256(topic) AS item, topic FROM tp WHERE length(topic) > 6 UNION ALL SELECT DISTINCT doc_id, 'generation', 'no_page', 'concepts/' || topic, topic FROM tp WHERE length(topic) <= 3),
+f AS (SELECT doc_id, 'facts' AS stage, 'no_room' AS reason, '0' AS item FROM documents WHERE lang = 'en'),
+s AS (SELECT DISTINCT o.doc_id, o.stage, o.reason, o.item, greatest(tp.start, p.start) AS start, least(tp."end", p."end") AS "end" FROM o JOIN tp ON o.doc_id = tp.doc_id AND o.topic = tp.topic JOIN p ON p.doc_id = tp.doc_id AND p.start < tp."end" AND tp.start < p."end" UNION ALL SELECT f.*, p.start, p."end" FROM f JOIN p ON f.doc_id = p.doc_id),
+a AS (SELECT doc_id, stage, reason, item FROM o UNION ALL SELECT * FROM f),
+r AS (SELECT a.*, s.start, s."end" FROM a LEFT JOIN s ON a.doc_id = s.doc_id AND a.stage = s.stage AND a.item = s.item UNION ALL SELECT doc_id, '', 'not_read', '', start, "end" FROM p WHERE (doc_id, start, "end") NOT IN (SELECT (doc_id, start, "end") FROM s))
+SELECT doc_id AS source_id, reason, stage, item, CASE WHEN start IS NOT NULL THEN '0' END AS block, start, "end" FROM r
+""")
+def omission_issues(spark, d):
+    """Omitted topics, pages and blocks with the parts of them that are still open, and the other open ranges."""
+    docs = _documents(spark, d)
+    source, block = F.col("doc_id").alias("source_id"), F.lit("0").alias("block")
+    pending = coverage.coverage_ranges(*_half_lines(spark, d)).where("status = 'pending'").select(source, block, "start", "end", F.lit("not_read").alias("reason"))
+    topic, size = F.split_part("text", F.lit(" "), F.lit(1)), F.length("topic")
+    met = blocks.line_blocks(docs).where("ord % 3 = 1").select(source, topic.alias("topic"), F.sha2(topic, 256).alias("topic_id"), block, F.greatest(F.col("start") - 10, F.lit(0)).alias("start"), (F.col("end") + 10).alias("end"))
+    page = F.concat(F.lit("concepts/"), "topic")
+    row = lambda stage, reason, item: [F.lit(stage).alias("stage"), F.lit(reason).alias("reason"), item.alias("item")]
+    whole = table(spark, d, "documents").where("lang = 'en'").select(source, *row("facts", "no_room", F.lit("0")))
+    left_out = met.where(size > 6).select("source_id", *row("planning", "no_path", F.col("topic_id"))).unionByName(met.where(size <= 3).select("source_id", *row("generation", "no_page", page))).unionByName(whole)
+    return issues.source_issues(pending, left_out, met, met.select("source_id", page.alias("target"), "topic"))
+
+
 @_query(f"WITH {_COVER} SELECT doc_id, true AS contiguous, NOT bool_or(status = 'pending') AS complete FROM cover GROUP BY doc_id")
 def coverage_valid(spark, d):
     docs, units = _half_lines(spark, d)
