@@ -1,7 +1,7 @@
 """Streams of file events: debounced flushes, a ring buffer and first claims.
 
-A debounce timer is processing time; here a session window on event time takes
-its place, which gives the same sets for any replay of the events.
+A debounce timer is processing time; here sessions of event time take its place,
+which gives the same sets for any replay of the events.
 """
 
 from __future__ import annotations
@@ -11,11 +11,25 @@ from pyspark.sql import functions as F
 
 
 def debounced(events: DataFrame, gap: str, key: str, at: str = "ts", delay: str | None = None) -> DataFrame:
-    """Per ``key`` one row for each run of events with less than ``gap`` between them; sorted distinct paths. ``delay`` sets the watermark of a stream."""
+    """Per ``key`` one row for each run of events with less than ``gap`` between them; sorted distinct paths. ``delay`` sets the watermark of a stream.
+
+    A stream uses session windows.  A table is dealt by key and windows of the
+    length ``gap``: events of one window always belong together, so only the
+    windows of a key, not its events, are put in order.  Rows without a time take no part.
+    """
     timed = events.withColumn(at, F.col(at).cast("timestamp"))
-    if delay is not None:
-        timed = timed.withWatermark(at, delay)
-    return timed.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("events"), F.array_sort(F.collect_set("path")).alias("paths")).select(key, F.col("w.start").alias("begin"), F.col("w.end").alias("finish"), "events", "paths")
+    if events.isStreaming:
+        timed = timed if delay is None else timed.withWatermark(at, delay)
+        return timed.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("events"), F.array_sort(F.collect_set("path")).alias("paths")).select(key, F.col("w.start").alias("begin"), F.col("w.end").alias("finish"), "events", "paths")
+    length = F.expr(f"INTERVAL {gap}")
+    dealt = timed.groupBy(F.col(key).alias("_key"), F.window(at, gap).alias("_w"), "path").agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last")).select("_key", F.col("_w.start").alias("_bin"), "path", "n", "first", "last")
+    by = Window.partitionBy("_key").orderBy("_bin")
+    bins = dealt.groupBy("_key", "_bin").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    fresh = F.coalesce(F.col("first") >= F.lag("last").over(by) + length, F.lit(True))
+    runs = bins.withColumn("_fresh", F.when(fresh, F.col("first"))).select(F.col("_key").alias("_k"), F.col("_bin").alias("_b"), F.last("_fresh", ignorenulls=True).over(by).alias("begin"))
+    named = dealt.join(runs, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_bin") == F.col("_b")))
+    once = named.groupBy("_key", "begin", "path").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    return once.groupBy("_key", "begin").agg((F.max("last") + length).alias("finish"), F.sum("n").alias("events"), F.array_sort(F.collect_set("path")).alias("paths")).select(F.col("_key").alias(key), "begin", "finish", "events", "paths")
 
 
 def ring_buffer(events: DataFrame, key: str, order: str, size: int = 200) -> DataFrame:

@@ -14,3 +14,35 @@ def test_slugs_of_blank_ended_titles(spark, tmp_path):
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == dict(duckdb.sql(registry.oracle_sql()["title_slugs"]).fetchall())
     assert len({got[0], got[1], got[2]}) == 3
+
+
+def test_sessions_of_a_table_are_dealt_by_time(spark):
+    """As by session windows, over gaps of exactly the length, window bounds, null keys and paths; no key's events are sorted in one task."""
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from scriptorium.streaming import watch
+
+    rng, t0 = random.Random(3), datetime(2024, 1, 1)
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.choice([0, 1, 59_999_999, 60_000_000, 60_000_001, 10_000_000, 200_000_000])
+        rows.append((rng.choice(["a", "a", "b", None]), t0 + timedelta(microseconds=at), rng.choice(["p", "q", None, f"r{i}"])))
+    events = spark.createDataFrame(rows + [("a", None, "lost")], "k string, ts timestamp, path string")
+    want = []
+    for k in ("a", "b", None):
+        mine, runs = sorted((r for r in rows if r[0] == k), key=lambda r: r[1]), []
+        for r in mine:
+            if runs and r[1] - runs[-1][-1][1] < timedelta(minutes=1):
+                runs[-1].append(r)
+            else:
+                runs.append([r])
+        want += [(k, g[0][1], g[-1][1] + timedelta(minutes=1), len(g), sorted({r[2] for r in g} - {None})) for g in runs]
+    found = watch.debounced(events, "1 minute", "k")
+    order = lambda r: (str(r[0]), r[1])
+    assert sorted((tuple(r) for r in found.collect()), key=order) == sorted(want, key=order)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SessionsExec" not in plan and "UpdatingSessions" not in plan and "MergingSessions" not in plan
+    assert found.select(F.sum("events")).first()[0] == 600
