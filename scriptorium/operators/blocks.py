@@ -10,26 +10,21 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 
 @F.pandas_udf(ArrayType(LongType()))
-def _line_starts(text: pd.Series) -> pd.Series:
-    """Where each line of a text begins, in code points."""
-
-    def starts(t):
-        if t is None:
-            return None
-        sizes = np.fromiter((len(x) + 1 for x in t.split("\n")), np.int64)
-        return np.cumsum(sizes) - sizes
-
-    return text.map(starts)
+def _starts(sizes: pd.Series) -> pd.Series:
+    """Where each of the lines of these sizes begins."""
+    return sizes.map(lambda n: None if n is None else np.cumsum(n, dtype=np.int64) - n)
 
 
 def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ord, text, start, end)``: each line as a block with its place in code points.
 
-    Places are summed within the row, so nothing is shuffled.  A null text has
-    no lines; an empty one has one empty line.
+    Places are summed within the row, so nothing is shuffled; only the sizes of
+    lines leave the JVM for that, not the texts.  A null text has no lines; an
+    empty one has one empty line.
     """
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("whole")).where("whole is not null")
-    zipped = F.arrays_zip(F.split("whole", "\n", -1).alias("text"), _line_starts("whole").alias("start"))
+    rows = F.split("whole", "\n", -1)
+    zipped = F.arrays_zip(rows.alias("text"), _starts(F.transform(rows, lambda r: F.length(r) + 1)).alias("start"))
     lines = whole.select("doc_id", F.posexplode(zipped).alias("ord", "x"))
     return lines.select("doc_id", "ord", "x.text", "x.start", (F.col("x.start") + F.length("x.text")).alias("end"))
 
