@@ -260,11 +260,13 @@ def pptx_blocks(files: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def decoded_text(content: pd.Series) -> pd.Series:
-    """Text of bytes: UTF-16 by its mark, else UTF-8, else GB 18030; null if none fits or a NUL is left."""
+def _other_text(content: pd.Series) -> pd.Series:
+    """Text of bytes that aren't plain UTF-8, null for null."""
 
     def one(raw):
-        raw = bytes(raw) if raw is not None else b""
+        if raw is None:
+            return None
+        raw = bytes(raw)
         marked = raw[:2] in (b"\xff\xfe", b"\xfe\xff")
         for name in ("utf-16",) if marked else ("utf-8-sig", "gb18030"):
             try:
@@ -278,6 +280,15 @@ def decoded_text(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+def decoded_text(content: Column | str) -> Column:
+    """Text of bytes: UTF-16 by its mark, else UTF-8, else GB 18030; null if none fits or a NUL is left. Only what isn't plain UTF-8 leaves the JVM."""
+    raw = F.col(content) if isinstance(content, str) else content
+    text = F.coalesce(raw.cast("string"), F.lit(""))
+    plain = F.is_valid_utf8(text) & ~F.contains(text, F.lit("\x00"))
+    bare = F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+    return F.coalesce(_other_text(F.when(~plain, raw)), F.when(plain, bare))
+
+
 _SAVED = "array<struct<page:string,content:string,images:array<struct<path:string>>>>"
 
 

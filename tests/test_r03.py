@@ -46,3 +46,57 @@ def test_sessions_of_a_table_are_dealt_by_time(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SessionsExec" not in plan and "UpdatingSessions" not in plan and "MergingSessions" not in plan
     assert found.select(F.sum("events")).first()[0] == 600
+
+
+def _python_inputs(df):
+    """The arguments of the Python functions in a plan, resolved, without their columns' numbers."""
+    import re
+
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [re.sub(r"#\d+L?", "", line) for line in plan.splitlines() if "ArrowEvalPython" in line]
+
+
+def test_lines_leave_their_texts_in_the_jvm(spark):
+    """Places in code points, whatever the lines; Python gets sizes of lines."""
+    from scriptorium.operators import blocks
+
+    texts = ["", "\n", "a\nb", "é\n中文😀\n\nx\r\ny", None, "long " * 1000 + "\n" + "z" * 70_000, "\n" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        at = 0
+        for n, line in enumerate((t or "").split("\n") if t is not None else []):
+            want.append((i, n, line, at, at + len(line)))
+            at += len(line) + 1
+    found = blocks.line_blocks(docs)
+    assert sorted(map(tuple, found.collect())) == want
+    assert found.schema["start"].dataType.typeName() == found.schema["end"].dataType.typeName() == "long"
+    [call] = _python_inputs(found)
+    assert "transform(split(" in call, "the argument is made of sizes"
+
+
+def test_only_other_bytes_are_decoded_in_python(spark):
+    """As Python decodes, for bytes of all kinds; Python gets null for plain UTF-8."""
+    from pyspark.sql import functions as F
+
+    from scriptorium.sources import office
+
+    def plain(raw):
+        raw = b"" if raw is None else raw
+        marked = raw[:2] in (b"\xff\xfe", b"\xfe\xff")
+        for name in ("utf-16",) if marked else ("utf-8-sig", "gb18030"):
+            try:
+                text = raw.decode(name)
+            except UnicodeDecodeError:
+                continue
+            if marked or "\x00" not in text:
+                return text
+        return None
+
+    raws = [None, b"", b"a", "é中😀".encode(), b"\xef\xbb\xbfx", b"\xef\xbb\xbf", b"\xef\xbb\xbf\xef\xbb\xbfx", b"a\x00b", "中文".encode("gb18030"), "x\x00".encode("utf-16"), "😀".encode("utf-16-be"), b"\xff\xfe\x00", b"\xed\xa0\x80", b"\xc0\x80", b"\xf5\x80\x80\x80", b"\xff", b"\x81", b"\xef\xbb"]
+    df = spark.createDataFrame([(i, None if r is None else bytearray(r)) for i, r in enumerate(raws)], "i int, content binary")
+    got = df.select("i", office.decoded_text("content").alias("t"))
+    assert [r["t"] for r in got.orderBy("i").collect()] == [plain(r) for r in raws]
+    [call] = _python_inputs(got)
+    assert "CASE WHEN" in call or "if" in call.lower(), "plain texts are null there"
+    assert df.where("i > 0").select(office.decoded_text(F.col("content")).alias("t")).where("t is null").count() == sum(plain(r) is None for r in raws)
