@@ -40,3 +40,8 @@ def test_ranges_equal_their_sql(spark, tmp_path, name, odd):
 @pytest.mark.parametrize("odd", [EMPTY, MISSING, [(11, "a\nb\nc", "en", "s", 0), (12, "a\nb", "en", "s", None), (13, "abc\nbdd\nc", "fr", "s", 3), (14, "abc\n", "fr", "s", 30), (15, "a\nb\nc\nd\nefg", "fr", "s", 4)]], ids=["empty", "missing", "sizes"])
 def test_valid_covers_equal_their_sql(spark, tmp_path, odd):
     held_against_sql(spark, tmp_path, "coverage_valid", PLAIN + odd)
+
+
+@pytest.mark.parametrize("odd", [EMPTY, MISSING], ids=["empty", "missing"])
+def test_issues_equal_their_sql(spark, tmp_path, odd):
+    held_against_sql(spark, tmp_path, "omission_issues", PLAIN + odd + [(11, "a\n\nb", "en", "s", 0)])
